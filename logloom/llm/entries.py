@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logloom.llm import langid
 from logloom.llm.exact_dedup import exact_dedup
+from logloom.llm.packing import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +29,25 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), F.col("lang_pred"), F.col("score"))
+
+
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
