@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.llm import langid
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.packing import pack
+from logloom.llm.substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +46,36 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), F.col("lang_pred"), F.col("score"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS least FROM p GROUP BY win),
+gone AS (
+  SELECT DISTINCT p.doc_id, unnest(range(p.i, p.i + 13)) AS k FROM p JOIN f USING (win) WHERE f.least < p.doc_id),
+g AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(g.ks), 0) AS n_removed,
+         CASE WHEN g.ks IS NULL THEN d.w
+              ELSE list_filter(d.w, lambda x, i: NOT list_contains(g.ks, i)) END AS kept
+  FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 QUERIES = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_substring_dedup": OP9_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
