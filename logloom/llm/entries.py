@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.llm import langid
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.packing import pack
+from logloom.llm.simhash import simhash_components
 from logloom.llm.substring_dedup import substring_dedup
 
 
@@ -30,6 +31,10 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -69,6 +74,7 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 """
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
