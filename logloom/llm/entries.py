@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import langid
+from logloom.llm import langid, ngram_lm
+from logloom.llm.common import crc32_of_id
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.packing import pack
 from logloom.llm.simhash import simhash_components
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"))
+    held_out = crc32_of_id() % 7 == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
