@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import langid, ngram_lm
+from logloom.llm import chat, langid, ngram_lm
 from logloom.llm.common import crc32_of_id
 from logloom.llm.exact_dedup import exact_dedup
+from logloom.llm.license_scan import scan_licenses
 from logloom.llm.packing import pack
 from logloom.llm.simhash import simhash_components
 from logloom.llm.substring_dedup import substring_dedup
@@ -58,6 +59,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), F.col("lang_pred"), F.col("score"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_chats(turns.unionByName(chat.control_conversation(spark))))
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[INST', '&#91;INST'), '[/INST', '&#91;/INST') AS safe
+  FROM t),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+         sum(length('<|turn|>') + length(role) + 1 + length(safe) + length('<|end|>') + 1)::BIGINT AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +110,8 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
@@ -90,6 +120,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_chat_formatting": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
