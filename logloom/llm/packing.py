@@ -16,8 +16,10 @@ each; null ids are kept; a text longer than a window spans several; an empty tab
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,18 @@ from logloom.llm.common import batches, ddl, id_and_text, record_batch
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: The printable character that stands for each byte in byte-level vocabularies.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordEncoder:
     """Ids of a text from ids of its chunks between ASCII spaces.
 
     Sound for tokenizers that drop white space and never look across it, as the default one does: its
-    normaliser composes and lower-cases character by character, its splitter never keeps white space and
-    parts letters from punctuation, and its last piece of a word is marked. A new chunk is a word and
-    closing punctuation; words of letters alone are encoded many at a time and parted at the marks.
+    normaliser composes and lower-cases character by character, its splitter never keeps white space, keeps
+    runs of letters whole and parts them from punctuation. A new chunk is a word and closing punctuation; a
+    word of composed letters alone goes straight to the tokenizer's model, everything else to the tokenizer.
     Two generations of remembered chunks bound the memory and keep frequent ones.
     """
 
@@ -45,10 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.encode = tokenizer.encode_batch_fast
-        self.last = np.zeros(tokenizer.get_vocab_size(), bool)
-        for piece, i in tokenizer.get_vocab().items():
-            self.last[i] = piece.endswith("</w>")
+        self.encode, self.tokenize = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.remember, self.young, self.old = remember, {}, {}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -72,30 +76,33 @@ class WordEncoder:
         return out
 
     def _learn(self, missing: list[bytes]) -> None:
-        young, parted, plain, odd = self.young, [], {}, {}
+        young, odd, pack, tokenize = self.young, {}, struct.pack, self.tokenize
+        parted = []
         for w in missing:
             base = w.rstrip(self.CLOSING)
-            text = base.decode("utf-8", "replace")
-            if not text.lower()[-1:].isalpha():
-                base, text = w, w.decode("utf-8", "replace")
-            parted.append((w, base, w[len(base) :]))
-            if base not in young:
-                (plain if text.lower().isalpha() else odd)[base] = text
-            if len(base) < len(w) and (tail := w[len(base) :]) not in young:
-                odd[tail] = tail.decode()
-        for group in (list(plain.items())[i : i + 500] for i in range(0, len(plain), 500)):
-            ids = np.array(self.encode([" ".join(x for _, x in group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):
-                for (w, _), a, b in zip(group, [0, *ends.tolist()], ends.tolist()):
-                    young[w] = ids[a:b].tobytes()
+            if base.isalpha() and base.islower():  # ASCII letters alone
+                name = base.decode()
             else:
-                odd.update(group)
+                text = "".join(map(str.lower, base.decode("utf-8", "replace")))
+                if not text[-1:].isalpha():
+                    odd[w] = w.decode("utf-8", "replace")
+                    continue
+                if text.isalpha() and is_normalized("NFC", text):
+                    name = text.encode().decode("latin-1").translate(BYTE_LEVEL)
+                else:
+                    odd[base], name = base.decode("utf-8", "replace"), None
+            if name is not None and base not in young:
+                ids = [x.id for x in tokenize(name)]
+                young[base] = pack(f"<{len(ids)}I", *ids)
+            if len(base) < len(w):
+                tail = w[len(base) :]
+                parted.append((w, base, tail))
+                if tail not in young:
+                    odd[tail] = tail.decode()
         for w, e in zip(odd, self.encode(list(odd.values()), add_special_tokens=False)):
-            young[w] = np.array(e.ids, "<u4").tobytes()
+            young[w] = pack(f"<{len(e.ids)}I", *e.ids)
         for w, base, tail in parted:
-            if tail:
-                young[w] = young[base] + young[tail]
+            young[w] = young[base] + young[tail]
 
 
 _encoders: dict[str, WordEncoder] = {}
