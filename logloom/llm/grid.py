@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,9 +111,24 @@ def from_planes(data: bytes, n_bytes: int) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def small_planes(values: np.ndarray) -> bytes:
-    """Non-negative 64-bit values as byte planes, all eight; zero planes cost nothing once compressed."""
-    return planes(values.astype(np.uint64), 8)
+def pack_sorted(keys: np.ndarray, n_bytes: int) -> bytes:
+    """The leading n_bytes bytes of ascending 64-bit keys: the planes of their differences, compressed."""
+    top = keys >> np.uint64(64 - 8 * n_bytes)
+    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(top, prepend=np.uint64(0)) << np.uint64(64 - 8 * n_bytes), n_bytes))
+
+
+def unpack_sorted(data: bytes, n_bytes: int) -> np.ndarray:
+    steps = from_planes(zstandard.ZstdDecompressor().decompress(data), n_bytes) >> np.uint64(64 - 8 * n_bytes)
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(64 - 8 * n_bytes)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Non-negative 64-bit values: byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(planes(values.astype(np.uint64), 8))
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return from_planes(zstandard.ZstdDecompressor().decompress(data), 8)
 
 
 def bits(flags: np.ndarray) -> bytes:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import ddl, record_batch
-from logloom.llm.grid import NO_ID, bits, cuts, from_bits, from_planes, grid, ids_of, planes, sha256_hex, small_planes, texts_of, window_hash, word_hashes
+from logloom.llm.grid import NO_ID, bits, cuts, from_bits, from_planes, grid, ids_of, pack_numbers, pack_sorted, planes, sha256_hex, texts_of, unpack_numbers, unpack_sorted, window_hash, word_hashes
 
 PROBES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("block", pa.binary()), ("twice", pa.binary())])
 ANCHORS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("hit", pa.binary())])
@@ -86,7 +86,7 @@ def _probe(shape: Shape):
         np.maximum.at(most, where, ids)
         twice = least < most
         edge = cuts(keys, shape.n_probe)
-        rows = [(b, key[0].as_py(), j - i, planes(keys[i:j], shape.key_bytes), bits(is_block[i:j]), bits(twice[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+        rows = [(b, key[0].as_py(), j - i, pack_sorted(keys[i:j], shape.key_bytes), bits(is_block[i:j]), bits(twice[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
         return pa.Table.from_batches([record_batch(PROBES, list(zip(*rows)))] if rows else [], PROBES)
 
     return run
@@ -95,7 +95,7 @@ def _probe(shape: Shape):
 def _anchors(shape: Shape):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
-        keys = np.concatenate([from_planes(k.as_py(), shape.key_bytes) for k in table.column("keys")])
+        keys = np.concatenate([unpack_sorted(k.as_py(), shape.key_bytes) for k in table.column("keys")])
         flag = {c: np.concatenate([from_bits(v.as_py(), n) for v, n in zip(table.column(c), sizes)]) for c in ("block", "twice")}
         rank = np.argsort(keys, kind="stable")
         new = np.concatenate(([True], keys[rank][1:] != keys[rank][:-1]))
@@ -141,7 +141,7 @@ def _windows(shape: Shape):
         # least: the smallest id here, its last bit says whether a larger one is here too
         least = (least.astype(np.uint64) << np.uint64(1)) | (most > least).astype(np.uint64)
         edge = cuts(first, shape.n_window)
-        rows = [(b, key[0].as_py(), j - i, planes(first[i:j], 8), planes(second[i:j], 8), small_planes(least[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+        rows = [(b, key[0].as_py(), j - i, pack_sorted(first[i:j], 8), planes(second[i:j], 8), pack_numbers(least[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
         return pa.Table.from_batches([record_batch(WINDOWS, list(zip(*rows)))], WINDOWS)
 
     return run
@@ -149,7 +149,8 @@ def _windows(shape: Shape):
 
 def _repeats(key: tuple, table: pa.Table) -> pa.Table:
     sizes = table.column("n").to_numpy()
-    first, second, least = (np.concatenate([from_planes(v.as_py(), 8) for v in table.column(c)]) for c in ("first", "second", "least"))
+    reader = {"first": lambda v: unpack_sorted(v, 8), "second": lambda v: from_planes(v, 8), "least": unpack_numbers}
+    first, second, least = (np.concatenate([read(v.as_py()) for v in table.column(c)]) for c, read in reader.items())
     here, local = (least >> np.uint64(1)).astype(np.int64), (least & np.uint64(1)).astype(bool)
     rank = np.lexsort((second, first))
     a, b = first[rank], second[rank]
@@ -163,7 +164,7 @@ def _repeats(key: tuple, table: pa.Table) -> pa.Table:
     for r, (i, j) in enumerate(zip(edge, edge[1:])):
         found = np.flatnonzero(all_here[i:j] | local[i:j]) + i
         if len(found):
-            rows.append((_of("chunk", table, r), planes(first[found], 8), bits(all_here[found]), len(found)))
+            rows.append((_of("chunk", table, r), pack_sorted(first[found], 8), bits(all_here[found]), len(found)))
     return pa.Table.from_batches([record_batch(REPEATS, list(zip(*rows)))] if rows else [], REPEATS)
 
 
@@ -173,7 +174,7 @@ def _cut(shape: Shape):
         n = len(words.doc)
         covered = np.zeros(n + 1, np.int64)
         if len(answers):
-            keys = np.concatenate([from_planes(v.as_py(), 8) for v in answers.column("keys")])
+            keys = np.concatenate([unpack_sorted(v.as_py(), 8) for v in answers.column("keys")])
             every = np.concatenate([from_bits(_of("all", answers, i), _of("n", answers, i)) for i in range(len(answers))])
             rank = np.argsort(keys)
             keys, every = keys[rank], every[rank]
