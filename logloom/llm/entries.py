@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.llm import chat, langid, ngram_lm
 from logloom.llm.common import crc32_of_id
 from logloom.llm.exact_dedup import exact_dedup
+from logloom.llm.html_extract import extract_main_text
 from logloom.llm.license_scan import scan_licenses
 from logloom.llm.packing import pack
 from logloom.llm.simhash import simhash_components
@@ -53,6 +54,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~langid.held_out()))
@@ -114,6 +119,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
