@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import chat, langid, ngram_lm
 from logloom.llm.common import crc32_of_id
+from logloom.llm.decontaminate import find_items
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.html_extract import extract_main_text
 from logloom.llm.license_scan import scan_licenses
@@ -91,6 +92,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
     "op2_packing": op2_packing,
     "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,

@@ -142,3 +142,17 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
 def held_out(id_col: str = "doc_id") -> Column:
     """True for rows that never train: crc32 of the id as text, modulo 3, is 1."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def _keep(profiles: Profiles, column: int, least: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts, 1000):
+            found = (profiles.predict(t or "") for t in part.column(column).to_pylist())
+            yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.15) -> DataFrame:
+    """The rows of docs, all columns, whose language is one of the profiles' with at least this score."""
+    return docs.mapInArrow(_keep(profiles, docs.columns.index(text_col), least), docs.schema)

@@ -6,7 +6,7 @@ fingerprints are merged first, so a group of copies is one row. Distinct fingerp
 * for a small distance k, by the pigeonhole principle: of m > k blocks of bits, two fingerprints within k
   share m - k whole blocks, so each is sent under every choice of m - k blocks. Exact. m grows with the
   number of fingerprints, so that groups stay small.
-* for a wide distance, under `tables` samples of bits; the recall follows from their number and size.
+* for a wide distance, under samples of bits, as many as the recall asks for.
 
 Within a key the fingerprints are sorted by Gray rank and indexed in levels of `FAN` children; a node keeps
 the bits its children share. The index is joined with itself from the top: a pair of nodes is dropped when
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +224,12 @@ def sample_masks(words: int, tables: int, n_bits: int) -> list[list[int]]:
     return [sorted(rng.choice(64 * words, n_bits, replace=False).tolist()) for _ in range(tables)]
 
 
+def tables_for(n_prints: int, agree: float, recall: float = 0.99) -> tuple[int, int]:
+    """(tables, bits a table) that bring two fingerprints with a share `agree` of equal bits together with this recall."""
+    n_bits = min(24, max(8, n_prints.bit_length() - 3))
+    return ceil(log(1 - recall) / log(1 - agree**n_bits)), n_bits
+
+
 def _keyed(masks: list):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 5000):
@@ -246,15 +252,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(_prints(shingle, seeds), ddl(PRINTS))
 
 
-def near_components(prints: DataFrame, k: int = 4, tables: int = 0, n_bits: int = 14) -> DataFrame:
+def near_components(prints: DataFrame, k: int = 4, agree: float | None = None) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of (doc_id, fp): the smallest doc_id reachable by links of at most k bits.
 
-    tables=0 uses the exact block keys (fingerprints of 64 bits); otherwise so many tables of n_bits sampled bits.
+    agree=None uses the exact block keys (fingerprints of 64 bits); otherwise tables of sampled bits that find
+    pairs with at least that share of equal bits.
     """
     distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
     n = distinct.count()
     words = (distinct.agg(F.max(F.length("fp")).alias("n")).first()["n"] or 8) // 8
-    masks = sample_masks(words, tables, n_bits) if tables else block_masks(n, k)
+    masks = block_masks(n, k) if agree is None else sample_masks(words, *tables_for(n, agree))
     keyed = distinct.where(F.col("id") != NO_ID).select("fp", "id").mapInArrow(_keyed(masks), ddl(KEYED))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     if not hot.isEmpty():
@@ -268,8 +275,22 @@ def near_components(prints: DataFrame, k: int = 4, tables: int = 0, n_bits: int
     return distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, k: int = 4, seeds: tuple[int, ...] = (42,), tables: int = 0, n_bits: int = 14) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, k: int = 4, seeds: tuple[int, ...] = (42,), agree: float | None = None) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: one row per input row."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seeds))
-    near = near_components(prints, k, tables, n_bits)
+    near = near_components(prints, k, agree)
     return prints.join(near, "fp", "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without those that are near copies of a row with a smaller id.
+
+    256-bit fingerprints of five-word shingles. At a Jaccard similarity s two bits differ with probability
+    arccos(2s / (1 + s)) / pi, which gives the expected distance; the bound lies 1.3 deviations above it.
+    Rows with a null id stay.
+    """
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    k = int(256 * differ + 1.3 * sqrt(256 * differ * (1 - differ)))
+    groups = simhash_components(docs, id_col, text_col, shingle=5, k=k, seeds=(42, 43, 44, 45), agree=1 - differ * 0.85)
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
