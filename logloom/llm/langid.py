@@ -54,7 +54,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def counts(text: str, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, ascending, and their counts; very long texts are counted in steps that end at a word's end."""
+    """Distinct n-grams, ascending, and their counts; very long texts are counted in steps that end at a word's end (a run of over 2 * step letters is cut)."""
     keys, n, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     while at < len(text):
         end = min(len(text), at + step)
