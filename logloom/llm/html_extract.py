@@ -9,13 +9,14 @@ Elements that are boilerplate by kind (menus, headers, footers, sidebars, notice
 reader comments; by tag, role, class or id) are dropped on any page. The main container is the longest
 article, else main, else a container named as content, else the body without link lists.
 
+Only subtrees inside the main container, where the page names one, are counted. What a page must lose is
+sent to every task while it is small (its size is checked), else joined by a shuffle.
 The page key of the joins is a hash of the whole row, so page ids may be null or repeated. A host holding a
 third of all pages adds rows, not groups: counting is pre-aggregated, the join back is on (host, subtree)
 and split by AQE, and no task gathers a host.
 
 Defined results: null html is empty; a page without text gives an empty string; a null url is host ''; broken
-markup is read leniently, unknown references stay as written; repeated rows count once as a page and are
-returned each; an empty table gives no rows.
+markup is read leniently, unknown references stay as written; repeated rows count and are returned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import batches, ddl, record_batch
+from logloom.session import checkpoint
 
-SUBTREES = pa.schema([("key", pa.int64()), ("host", pa.string()), ("subtree", pa.int64())])
+BROADCAST_BYTES = 8 << 20
+
+SUBTREES = pa.schema([("key", pa.int64()), ("host", pa.int64()), ("subtree", pa.int64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 #: Element names of HTML.
@@ -243,9 +247,11 @@ def _subtrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches(parts, 500):
         rows = []
         for key, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            host = host_of(url)
+            host = xxhash.xxh64_intdigest(host_of(url)) - (1 << 63)
             rows.append((key, host, 0))
-            rows.extend((key, host, h) for h in {n.subtree for n in hash_subtrees(parse(html))})
+            # of a page that names its main container, only what lies inside can matter
+            main = main_container(parse(html))[0]
+            rows.extend((key, host, h) for h in {n.subtree for n in hash_subtrees(main) if n is not main})
         if rows:
             yield record_batch(SUBTREES, list(zip(*rows, strict=True)))
 
@@ -266,8 +272,7 @@ def extract_main_text(
     """page_id, url, text, n_chars: one row per input row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
-    # a page counts once per subtree, however often its row is repeated
-    seen = rows.select("key", "url", "html").mapInArrow(_subtrees, ddl(SUBTREES)).distinct()
+    seen = rows.select("key", "url", "html").mapInArrow(_subtrees, ddl(SUBTREES))
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     hosts = counted.where("subtree = 0").select(F.col("host").alias("host_"), F.col("n").alias("pages"))
     many = counted.where(F.col("subtree") != 0).where(F.col("n") >= min(main_pages, outside_pages)).join(hosts, F.col("host") == F.col("host_"))
@@ -279,5 +284,9 @@ def extract_main_text(
     ).where("strict or loose")
     met = seen.join(template, (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s")))
     by_page = met.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.when(F.col("strict"), F.col("s"))).alias("strict"), F.collect_set(F.when(F.col("loose"), F.col("s"))).alias("loose"))
-    joined = rows.join(by_page, F.col("key") == F.col("k"), "left")
+    by_page = checkpoint(by_page)
+    size = by_page.agg(F.count("*").alias("rows"), F.sum(F.size("strict") + F.size("loose")).alias("ids")).first()
+    # the pages are shuffled only if what they must learn is too much to send to every task
+    small = 40 * size["rows"] + 8 * (size["ids"] or 0) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(by_page) if small else by_page, F.col("key") == F.col("k"), "left")
     return joined.select("page_id", "url", "html", "strict", "loose").mapInArrow(_extract, ddl(TEXTS))
