@@ -243,7 +243,7 @@ def attach(registers: DataFrame, linked: DataFrame) -> DataFrame:
     """registers with the link of their layout: by path and type (or name), else by type alone, else Unmatched."""
     rows = registers.withColumn("__n", F.lower(F.coalesce(F.when(F.col("template_type") != "", F.col("template_type")), F.col("name")))).withColumn("__p", F.lower("path"))
     links = linked.select(F.lower("shader_name").alias("n"), F.lower("shader_file").alias("p"), C.analysis_link(F.col("shader_name"), F.col("shader_file"), F.col("status")).alias("link"))
-    exact = links.groupBy("p", "n").agg(F.min("link").alias("exact_link"))
-    named = links.where(~F.col("n").isin(list(schemas.TYPE_SIZES))).groupBy("n").agg(F.min("link").alias("named_link"))
-    met = rows.join(exact, (F.col("__p") == exact["p"]) & (F.col("__n") == exact["n"]), "left").join(named, F.col("__n") == named["n"], "left")
+    exact = links.groupBy(F.col("p").alias("p1"), F.col("n").alias("n1")).agg(F.min("link").alias("exact_link"))
+    named = links.where(~F.col("n").isin(list(schemas.TYPE_SIZES))).groupBy(F.col("n").alias("n2")).agg(F.min("link").alias("named_link"))
+    met = rows.join(exact, (F.col("__p") == F.col("p1")) & (F.col("__n") == F.col("n1")), "left").join(named, F.col("__n") == F.col("n2"), "left")
     return met.select(*registers.columns, F.coalesce("exact_link", "named_link", F.lit("Unmatched")).alias("analysis"))

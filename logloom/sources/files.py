@@ -37,8 +37,10 @@ def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".hlsl", ".hlsli"), excluded: tuple[str, ...] = schemas.EXCLUDED_DIRS) -> DataFrame:
     """(path relative to root, content) of the files with these extensions (any case), outside excluded folders."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
-    base = "file:///" + root.strip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
-    path = F.url_decode(F.replace(F.replace("full", F.lit(base), F.lit("")), F.lit("+"), F.lit("%2B")))
+    # the metadata column holds an encoded URI, with one slash or three after a local scheme
+    local = F.regexp_replace("full", "^file:/+", "/")
+    base = root.rstrip("/") + "/"
+    path = F.url_decode(F.replace(F.replace(local, F.lit(base), F.lit("")), F.lit("+"), F.lit("%2B")))
     return select_sources(files.select(path.alias("path"), "content"), extensions, excluded)
 
 
