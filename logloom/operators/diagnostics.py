@@ -129,12 +129,35 @@ def context_lines(lines: DataFrame, hit: Column, order: str, line: str, partitio
     return lines.withColumn("context", F.collect_list(line).over(w)).where(hit)
 
 
-def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window", partition: list[str] | None = None) -> DataFrame:
-    """Events of the last `width` units of `at`, this one included."""
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(at).rangeBetween(-width, Window.currentRow)
-    return events.withColumn(name, F.count("*").over(w))
+def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window") -> DataFrame:
+    """Events of the last `width` units of `at`, this one included.
 
+    Time is cut into buckets of one width; a bucket's window also sees the bucket before it, so the buckets
+    are independent tasks and the count is exact.
+    """
+    bucket = F.floor(at / width).cast("long")
+    rows = events.withColumn("__at", at).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = rows.withColumn("__bucket", bucket + F.when(F.col("__own"), 0).otherwise(1))
+    w = Window.partitionBy("__bucket").orderBy("__at").rangeBetween(-width, Window.currentRow)
+    return rows.withColumn(name, F.count("*").over(w)).where("__own").drop("__at", "__own", "__bucket")
+
+
+def row_numbers(rows: DataFrame, order: str, name: str, bits: int = 16) -> DataFrame:
+    """Row numbers from 0 over a numeric order: a running count over one row per chunk, then within chunks."""
+    chunked = rows.withColumn("__chunk", F.shiftright(F.col(order).cast("long"), bits))
+    before = Window.partitionBy(F.lit(0)).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = chunked.groupBy("__chunk").agg(F.count("*").alias("n")).select("__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    w = Window.partitionBy("__chunk").orderBy(order)
+    return chunked.join(start, "__chunk").withColumn(name, F.col("__start") + F.row_number().over(w) - 1).drop("__chunk", "__start")
 
-def moving_average(rows: DataFrame, value: str, order: str, n: int = 10, name: str = "average", partition: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(order).rowsBetween(-(n - 1), Window.currentRow)
-    return rows.withColumn(name, F.avg(value).over(w))
+
+def moving_average(rows: DataFrame, value: str, order: str, n: int = 10, name: str = "average", block: int = 100_000) -> DataFrame:
+    """Mean of the value over this row and the n - 1 rows before it in a numeric order.
+
+    Rows are numbered, and each block of rows also sees the last n - 1 of the block before.
+    """
+    numbered = row_numbers(rows, order, "__rn")
+    own, near = F.floor(F.col("__rn") / block), F.col("__rn") % block >= block - (n - 1)
+    each = numbered.withColumn("__block", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("__block").orderBy("__rn").rowsBetween(-(n - 1), Window.currentRow)
+    return each.withColumn(name, F.avg(value).over(w)).where(F.col("__block") == own).drop("__rn", "__block")

@@ -54,14 +54,40 @@ def log_tasks(lines: DataFrame) -> DataFrame:
     return paired.select("seq", "process_id", "entry_point", "file_path", "defines", F.col("ms").alias("start_ms"), F.col("closed.ms").alias("end_ms"))
 
 
+#: Ordered lines are handled in chunks of so many order values, so that one long log is many tasks.
+CHUNK_BITS = 16
+
+
+def _chunk(order: str) -> Column:
+    return F.shiftright(F.col(order).cast("long"), CHUNK_BITS)
+
+
 def islands(lines: DataFrame, opens: Column, ends: Column, order: str, partition: list[str] | None = None) -> DataFrame:
     """Lines that follow an opening line before any ending one; `head` is the opening line's order value.
 
-    Without a partition all lines of a log are in one window; partition by file where there are several.
+    The last opening and ending lines before a chunk come from a running maximum over one row per chunk; the
+    lines themselves are only ordered within their chunk.
     """
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("head", F.last(F.when(opens, F.col(order)), ignorenulls=True).over(w)).withColumn("__end", F.last(F.when(ends, F.col(order)), ignorenulls=True).over(w))
-    return marked.where(F.col("head").isNotNull() & (F.col(order) > F.col("head")) & (F.col("__end").isNull() | (F.col("__end") <= F.col("head")))).drop("__end")
+    part = partition or []
+    rows = lines.withColumn("__chunk", _chunk(order)).withColumn("__o", F.when(opens, F.col(order))).withColumn("__e", F.when(ends, F.col(order)))
+    before = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part, "__chunk").agg(F.max("__o").alias("o"), F.max("__e").alias("e"))
+    carried = sums.select(*part, "__chunk", F.max("o").over(before).alias("__o0"), F.max("e").over(before).alias("__e0"))
+    w = Window.partitionBy(*part, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.join(carried, [*part, "__chunk"]).withColumn("head", F.coalesce(F.max("__o").over(w), "__o0")).withColumn("__end", F.coalesce(F.max("__e").over(w), "__e0"))
+    inside = F.col("head").isNotNull() & (F.col(order) > F.col("head")) & (F.col("__end").isNull() | (F.col("__end") <= F.col("head")))
+    return marked.where(inside).select(*lines.columns, "head")
+
+
+def with_next(lines: DataFrame, value: str, order: str, name: str, partition: list[str] | None = None) -> DataFrame:
+    """lines with the value of the next line; across chunks it is the first value of the next chunk."""
+    part = partition or []
+    rows = lines.withColumn("__chunk", _chunk(order))
+    firsts = rows.groupBy(*part, "__chunk").agg(F.min_by(value, order).alias("f"))
+    nexts = firsts.select(*part, "__chunk", F.lead("f").over(Window.partitionBy(*(part or [F.lit(0)])).orderBy("__chunk")).alias("__first"))
+    w = Window.partitionBy(*part, "__chunk").orderBy(order)
+    inner = F.lead(F.struct(value)).over(w)
+    return rows.join(nexts, [*part, "__chunk"]).withColumn("__n", inner).select(*lines.columns, F.when(F.col("__n").isNotNull(), F.col(f"__n.{value}")).otherwise(F.col("__first")).alias(name))
 
 
 def block_warnings(lines: DataFrame) -> DataFrame:
@@ -113,8 +139,7 @@ def log_warnings(lines: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def log_errors(lines: DataFrame, tasks: DataFrame) -> DataFrame:
     """(error_key, error_text): two-line failure reports, attributed to the first task of their process (and entry)."""
-    order = Window.partitionBy(*(["path"] if "path" in lines.columns else [F.lit(0)])).orderBy("line_no")
-    two = lines.withColumn("line", F.trim("line")).withColumn("follow", F.lead("line").over(order))
+    two = with_next(lines.withColumn("line", F.trim("line")), "line", "line_no", "follow", ["path"] if "path" in lines.columns else None)
     failed = HEAD + r"\[E\] Failed to compile (?:\w+) shader ([^:]*):(?:[^:]*):([0-9a-fA-F]+):"
     warned = HEAD + r"\[W\] Shader compilation failed:"
     d = C.diagnostic("follow")

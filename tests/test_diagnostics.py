@@ -116,3 +116,16 @@ def test_compile_operator(spark):
     assert got[1].cmd[-1] == "out/Sky/1F.pso" and got[1].success and not got[2].success
     assert run_command(["/no/such/compiler"])[1] is False and run_command(["true"]) == ("", True)
     assert D.parse(spark.createDataFrame(list(got.values()))).count() == 2
+
+
+def test_windows_over_chunks_equal_brute_force(spark):
+    rng = random.Random(9)
+    at = sorted(rng.sample(range(1 << 19), 500))
+    df = spark.createDataFrame([(t, float(rng.randint(0, 9))) for t in at], "at long, v double").repartition(6)
+    rows = sorted((r["at"], r.v) for r in df.collect())
+    got = {r["at"]: r.in_window for r in D.sliding_count(df, F.col("at"), 5000).collect()}
+    assert got == {t: sum(t - 5000 <= x <= t for x in at) for t in at}
+    got = {r["at"]: r.average for r in D.moving_average(df, "v", "at", n=10, block=32).collect()}
+    for i, (t, _) in enumerate(rows):
+        part = [v for _, v in rows[max(0, i - 9) : i + 1]]
+        assert abs(got[t] - sum(part) / len(part)) < 1e-9

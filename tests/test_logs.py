@@ -167,3 +167,14 @@ def test_large_reader_keeps_the_order(spark, tmp_path):
     assert got == [f"line {i}" for i in range(200_000)]
     small = R.read_lines(spark, str(path)).where("line_no <= 2").collect()
     assert [(r.line_no, r.line) for r in small] == [(1, "line 0"), (2, "line 1")]
+
+
+def test_chunks_of_a_long_log_change_nothing(spark, monkeypatch):
+    log = []
+    for n in range(1, 60):
+        log += [compiling(n / 10, 7, "Shaders/a.hlsl", f"e:Pixel:{n % 3}", "A"), f"[00:00:{n / 10:06.3f}] [7] [D] Shader logs:", f"a.hlsl({n}): warning X1: m", f"a.hlsl({n}): warning X2: m", "", "a.hlsl(1): warning X3: out", f"[00:00:{n / 10:06.3f}] [7] [E] Failed to compile Pixel shader e::{n % 3}:", f"a.hlsl({n}): error X9: bad"]
+    df = lines(spark, log)
+    whole = {k: sorted(map(str, v.collect())) for k, v in flows.generate(df).items()}
+    monkeypatch.setattr(L, "CHUNK_BITS", 2)
+    parts = {k: sorted(map(str, v.collect())) for k, v in flows.generate(df).items()}
+    assert whole == parts and len(whole["warnings"]) > 100 and whole["errors"]
