@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from logloom.session import checkpoint
 
 
+SALTS = 8
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
 def _star(directed: DataFrame, larger: bool) -> DataFrame:
     """Every neighbour of a (the larger ones, or all) points to the least of a and its neighbours."""
-    least = directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a_"), F.least("a", "m").alias("m"))
-    joined = directed.join(least, F.col("a") == F.col("a_"))
+    # the edges of a hub are spread by a salt of the neighbour, and the skewed rest is AQE's to split
+    least = directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a_"), F.least("a", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("s_"))
+    joined = directed.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, (F.col("a") == F.col("a_")) & (F.col("s") == F.col("s_")))
     if larger:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
