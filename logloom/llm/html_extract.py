@@ -55,6 +55,9 @@ MAIN_NAMES = {"article", "content", "post", "entry", "story", "main", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
 
+#: Word parts that mark boilerplate inside a longer name, such as `cookiebar`.
+DROPPED_PARTS = re.compile("cookie|advert|sidebar|sidenav|newsletter|breadcrumb|disqus|navbar|popup|usercomment|readercomment", re.I)
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
@@ -147,7 +150,8 @@ def boilerplate(node: Node, inside_main: bool) -> bool:
         return True
     if node.tag in ("article", "main") and not names & {"comment", "comments", "teaser", "ad", "ads", "advert", "related", "sponsored", "promo"}:
         return False
-    return bool(names & DROPPED_NAMES) or "header" in names and not inside_main and not names & MAIN_NAMES
+    own = f"{found.get('class', '')} {found.get('id', '')}"
+    return bool(names & DROPPED_NAMES) or DROPPED_PARTS.search(own) is not None or "header" in names and not inside_main and not names & MAIN_NAMES
 
 
 def _size(node: Node) -> int:

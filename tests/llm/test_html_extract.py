@@ -52,3 +52,9 @@ def test_query_equals_a_plain_reading(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         plain = " ".join(H.unescape(re.sub(r"</?(h1|p|br)>", " ", re.sub(r"</?b>", "", article))).split())
         assert r.text == plain and r.n_chars == len(plain)
+
+
+def test_names_of_boilerplate():
+    keep = '<div class="article-header"><p>a</p></div><section class="post-content"><p>b</p></section><figure><figcaption>c</figcaption></figure><blockquote>d</blockquote>'
+    drop = "".join(f"<div {a}><p>x</p></div>" for a in ('class="cookiebar"', 'id="reader-comments"', 'class="ad-slot"', 'class="siteSidebar"', 'role="complementary"', "hidden", 'style="display: none"', 'class="newsletterBox"', 'aria-hidden="true"', 'class="social-share"', 'class="notice"'))
+    assert main_text(f"<body><article>{keep}{drop}<footer>f</footer></article></body>") == "a b c d"
