@@ -43,7 +43,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "figcaption", "caption"}
-DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "menu", "dialog", "audio", "video", "map", "fieldset", "datalist", "applet", "noembed", "noframes", "math"} - {"math"}
+DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "menu", "dialog", "audio", "video", "map", "fieldset", "datalist", "applet", "noembed", "noframes"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
 DROPPED_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie",
