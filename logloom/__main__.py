@@ -7,9 +7,9 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from logloom.operators import includes as G
+from logloom.operators import linkage as K
 from logloom.operators import sources_code as S
 from logloom.plans import flows, reports
 from logloom.session import workers_can_import
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     print(reports.register_report(found["registers"].orderBy("register", "name")))
     if args.conflicts:
         print(reports.conflict_report(S.registers(S.bindings(R.with_combos(R.select_sources(files))))))
-    print(reports.comparison_report(found["links"].where(F.lit(True)), args.only_matched))
+    print(reports.comparison_report(found["links"], args.only_matched, K.composite_parts(found["layouts"])))
     return 0
 
 

@@ -62,6 +62,12 @@ def new_warnings(found: DataFrame) -> DataFrame:
     return first.select("warning_key", "shader_type", "entry", "d.code", "d.message", "d.location", "d.file", "seq")
 
 
+def instance_counts(hits: DataFrame) -> DataFrame:
+    """Distinct locations and affected (location, entry) pairs of each warning, most affected first."""
+    pairs = hits.groupBy("warning_key").agg(F.count_distinct("location").alias("instances"), F.count_distinct("location", F.coalesce("entry", F.lit(""))).alias("combinations"))
+    return pairs.orderBy(F.desc("combinations"), "warning_key")
+
+
 def suppressed_count(parsed: DataFrame, suppress: list[str]) -> DataFrame:
     return parsed.agg(F.count_if((F.col("severity") == "warning") & is_suppressed(F.col("code"), suppress)).alias("suppressed"))
 

@@ -117,8 +117,10 @@ def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, point_id:
     i = intervals.crossJoin(one).where(last >= F.col(start)).withColumn("__bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(last)))).drop("__span")
     i = i.select(F.col(key).alias("__key"), "__bin", F.col(start).alias("__start"), F.col(end).alias("__end"), F.struct(F.col(seq), *[c for c in intervals.columns if c != seq]).alias("__interval"))
     met = p.join(i, (F.col(key) == F.col("__key")) & (p["__bin"] == i["__bin"]) & (F.col("__start") <= F.col(at)) & (F.col("__end").isNull() | (F.col("__end") >= F.col(at))))
-    best = met.groupBy(point_id).agg(F.max_by("__interval", F.col(f"__interval.{seq}")).alias("interval"))
-    return points.join(best, point_id)
+    # the point's own columns travel through the aggregate, so the points are read once
+    rest = [c for c in points.columns if c != point_id]
+    best = met.groupBy(point_id).agg(F.any_value(F.struct(*rest)).alias("__p"), F.max_by("__interval", F.col(f"__interval.{seq}")).alias("interval"))
+    return best.select(point_id, *[F.col(f"__p.{c}").alias(c) for c in rest], "interval")
 
 
 def first_of(points: DataFrame, candidates: DataFrame, keys: list[str], seq: str) -> DataFrame:

@@ -235,6 +235,19 @@ def link(layouts: DataFrame) -> DataFrame:
     return judged.where("boosted or accepted").unionByName(lone, allowMissingColumns=True)
 
 
+def top_candidates(layouts: DataFrame, n: int = 5) -> DataFrame:
+    """The n best candidates of each shader layout, by boosted score."""
+    return best_candidates(candidates(checkpoint(is_composite(flatten(layouts))))).where(F.col("rank") <= n)
+
+
+def composite_parts(layouts: DataFrame) -> DataFrame:
+    """(parent, parent_file, place, part): the layouts that a cbuffer holds, in field order."""
+    shaders = layouts.where("language = 'shader'")
+    names = shaders.select(F.col("name").alias("part")).distinct()
+    held = shaders.where("is_cbuffer").select(F.col("name").alias("parent"), F.col("file").alias("parent_file"), F.posexplode("fields.type").alias("place", "part"))
+    return held.join(names, "part", "left_semi").select("parent", "parent_file", "place", "part")
+
+
 def status_counts(linked: DataFrame) -> DataFrame:
     return linked.groupBy(F.regexp_extract("status", r"^(\w+)", 1).alias("status")).agg(F.count("*").alias("n"))
 

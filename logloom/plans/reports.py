@@ -105,12 +105,20 @@ def _field(f) -> str:
     return "" if f is None else f"{f['type']} {f['name']} ({f['size']})"
 
 
-def comparison_report(linked: DataFrame, only_matched: bool = False) -> str:
-    """One Markdown table of fields side by side per linked layout, differences emphasised."""
-    out = []
+def comparison_report(linked: DataFrame, only_matched: bool = False, parts: DataFrame | None = None) -> str:
+    """One Markdown table of fields side by side per linked layout, differences emphasised.
+
+    parts, as of linkage.composite_parts, lists under a composite the layouts that it holds.
+    """
+    out, held = [], {}
+    if parts is not None:
+        for p in parts.orderBy("parent", "parent_file", "place").toLocalIterator():
+            held.setdefault((p["parent"], p["parent_file"]), []).append(p["part"])
     rows = linked.where("status <> 'Unmatched'") if only_matched else linked
     for r in rows.orderBy("shader_name", "shader_file", "shader_line").toLocalIterator():
         out.append(f"\n## {r['shader_name']} ({r['shader_file']}:{r['shader_line']}): {r['status']}")
+        if (r["shader_name"], r["shader_file"]) in held:
+            out.append("Holds: " + ", ".join(dict.fromkeys(held[r["shader_name"], r["shader_file"]])))
         if r["host_name"] is None:
             continue
         out.append(f"Best candidate: {r['host_name']} ({r['host_file']}:{r['host_line']}), score {r['score']:.3f}, {r['exact_matches']} exact, {r['missing_fields']} missing\n")

@@ -1,8 +1,8 @@
-"""Lifecycle pairing and attribution over a stream of log events.
+"""Lifecycle pairing over a stream of log events.
 
-The batch operators define the result. A process's open tasks and waiting blocks are state; a block waits
-until no open task that may hold it can still close before it, which the batch rule needs to know, or
-until its process has been silent for the timeout.
+The batch operator defines the result: a closer takes the latest open task of its process and entry. Open
+tasks are the state of a process; a closed task is emitted when its closer arrives, and what is still open
+when the process has been silent for the timeout is emitted as open.
 """
 
 from __future__ import annotations

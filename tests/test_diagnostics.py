@@ -129,3 +129,8 @@ def test_windows_over_chunks_equal_brute_force(spark):
     for i, (t, _) in enumerate(rows):
         part = [v for _, v in rows[max(0, i - 9) : i + 1]]
         assert abs(got[t] - sum(part) / len(part)) < 1e-9
+
+
+def test_instance_counts(spark):
+    hits = spark.createDataFrame([("k", "a", "x"), ("k", "a", "y"), ("k", "b", None), ("j", "a", "x"), ("k", "a", "x")], "warning_key string, location string, entry string")
+    assert [tuple(r) for r in D.instance_counts(hits).collect()] == [("k", 2, 3), ("j", 1, 1)]

@@ -139,6 +139,11 @@ def test_linkage(spark):
     assert {r.status: r.n for r in K.status_counts(found["links"]).collect()}["Matched"] >= 1
     shown = {r.name: r.analysis for r in found["registers"].collect()}
     assert shown["lit"].startswith("[Matched](#") and shown["smp"] == "Unmatched"
+    assert [(p.parent, p.part, p.place) for p in K.composite_parts(found["layouts"]).collect()] == [("PerFrame", "Light", 1)]
+    top = K.top_candidates(found["layouts"], 2).where("shader_name = 'Light'").orderBy("rank").collect()
+    assert [t.rank for t in top] == [1, 2] and top[0].host_name == "LightData" and top[0].score >= top[1].score
+    assert [(r.line, r.found) for r in S.line_matches(files.where("path = 'x.hlsl'"), r"cbuffer (\w+)", 1).orderBy("line").collect()][0] == (3, "PerFrame")
+    assert "Holds: Light" in reports.comparison_report(found["links"], parts=K.composite_parts(found["layouts"]))
     text = reports.comparison_report(found["links"]) + reports.register_report(found["registers"])
     assert "## Light" in text and "|t10|" in text and text.index("|t10|") < text.index("|t3|")
     assert "Register Conflicts" in reports.conflict_report(S.registers(S.bindings(R.with_combos(files.where("path = 'x.hlsl'")))))
