@@ -289,47 +289,43 @@ def b21_resolve_first(spark, d):
     return G.resolve(wanted, nodes, ["one", "two"]).select("c_custkey", "dst")
 
 
-EDGES_SQL = """
-l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem WHERE l_orderkey < 400 GROUP BY ALL),
-g AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
-"""
+EDGES_SQL = "g AS (SELECT p_partkey AS src, p_partkey // (2 + p_size % 2) AS dst FROM part WHERE p_partkey // (2 + p_size % 2) >= 1)"
 
 
 def part_edges(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
-    nexts = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p").alias("dst"))
-    return lines.withColumnRenamed("p", "src").join(nexts, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+    """Every part points to the part at a half or a third of its key: a tree of a few levels over the whole table."""
+    below = big(F.floor(F.col("p_partkey") / (2 + F.col("p_size") % 2)))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("src"), below.alias("dst")).where("dst >= 1")
+
 
+#: The changed parts that b23 and b24 ask about.
+SEEDS = (5, 6, 7)
 
-@query(f"""WITH {EDGES_SQL}, nodes AS (SELECT src AS path FROM g UNION SELECT dst FROM g)
-SELECT path::VARCHAR AS path, coalesce((SELECT array_to_string(list_sort(list(src::VARCHAR)), ',') FROM g WHERE dst = path), '') AS users FROM nodes""")
+
+@query(f"""WITH {EDGES_SQL}, nodes AS (SELECT src AS path FROM g UNION SELECT dst FROM g), u AS (SELECT dst, array_to_string(list_sort(list(src::VARCHAR)), ',') AS users FROM g GROUP BY 1)
+SELECT path::VARCHAR AS path, coalesce(users, '') AS users FROM nodes LEFT JOIN u ON dst = path""")
 def b22_invert(spark, d):
-    edges = checkpoint(part_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+    edges = part_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("path"))
     return G.invert(nodes, edges).select("path", F.array_join("users", ",").alias("users"))
 
 
-REACH_SQL = f"WITH RECURSIVE {EDGES_SQL}, s AS (SELECT DISTINCT src AS path FROM g ORDER BY 1 LIMIT 3), r AS (SELECT path FROM s UNION SELECT dst FROM r JOIN g ON src = path)"
-
-
-def reached(spark, d) -> DataFrame:
-    edges = checkpoint(part_edges(spark, d))
-    return G.reachable(edges, edges.select("src").distinct().orderBy("src").limit(3))
+REACH_SQL = f"WITH RECURSIVE {EDGES_SQL}, s AS (SELECT unnest([5, 6, 7])::BIGINT AS path), r AS (SELECT path FROM s UNION SELECT src FROM r JOIN g ON dst = path)"
 
 
 @query(f"{REACH_SQL} SELECT path FROM r")
 def b23_reachable(spark, d):
-    return reached(spark, d)
+    return G.reachable(part_edges(spark, d), spark.createDataFrame([(s,) for s in SEEDS], "path long"), "dst", "src")
 
 
 @query(f"{REACH_SQL} SELECT p_partkey, p_type, 'known' AS seeds FROM part WHERE p_partkey IN (SELECT path FROM r) UNION ALL SELECT p_partkey, p_type, 'unknown' FROM part")
 def b24_incremental(spark, d):
-    edges = checkpoint(part_edges(spark, d).select(F.col("src").cast("string").alias("dst"), F.col("dst").cast("string").alias("src")))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    edges = part_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     parts = table(spark, d, "part").select("p_partkey", "p_type", F.col("p_partkey").cast("string").alias("file"))
-    seeds = edges.select(F.col("dst").cast("long").alias("p")).distinct().orderBy("p").limit(3).select(F.col("p").cast("string").alias("path"))
-    some, _ = G.incremental_tasks(parts, nodes, edges, seeds)
-    every, _ = G.incremental_tasks(parts, nodes, edges, seeds.unionByName(spark.createDataFrame([("no such part",)], "path string")))
+    nodes = parts.select(F.col("file").alias("path"))
+    changed = lambda *more: spark.createDataFrame([(str(s),) for s in (*SEEDS, *more)], "path string")
+    some, _ = G.incremental_tasks(parts, nodes, edges, changed())
+    every, _ = G.incremental_tasks(parts, nodes, edges, changed("no such part"))
     return some.select("p_partkey", "p_type", F.lit("known").alias("seeds")).unionByName(every.select("p_partkey", "p_type", F.lit("unknown").alias("seeds")))
 
 
@@ -427,7 +423,7 @@ def b34_name_similarity(spark, d):
 
 @query()
 def b35_greedy_alignment(spark, d):
-    """Each brand's sorted type words against the next brand's."""
+    """The type words of every brand against those of every later brand, as layouts."""
 
     def run(parts):
         for part in parts:
@@ -436,7 +432,7 @@ def b35_greedy_alignment(spark, d):
             yield pd.DataFrame({"a": part["a"], "b": part["b"], "score": [round(r["score"], 6) for r in reports], "matches": [r["field_matches"] for r in reports], "missing": [r["missing_fields"] for r in reports]})
 
     words = table(spark, d, "part").select("p_brand", F.explode(F.split(F.concat_ws(" ", "p_type", "p_name"), "[^A-Za-z0-9]+")).alias("w"))
-    lists = words.groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_set("w")), 1, 30).alias("ws"))
+    lists = words.groupBy("p_brand").agg(F.array_sort(F.collect_set("w")).alias("ws"))
     left, right = lists.select(F.col("p_brand").alias("a"), F.col("ws").alias("left")), lists.select(F.col("p_brand").alias("b"), F.col("ws").alias("right"))
     return left.crossJoin(right).where("a < b").mapInPandas(run, "a string, b string, score double, matches long, missing long")
 
@@ -522,9 +518,8 @@ def b43_defines(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(C.flatten_defines(nested), ",").alias("defines"), F.array_join(stripped, ",").alias("stripped"))
 
 
-@query("""
-SELECT DISTINCT event_type AS warning_key FROM events WHERE event_id < 3 AND event_type NOT IN (SELECT event_type FROM events WHERE event_id >= 3 AND event_id < 6)
-""")
+@query(f"""WITH {HALVES_SQL}
+SELECT DISTINCT warning_key || ':' || entry AS warning_key FROM h WHERE old EXCEPT SELECT warning_key || ':' || entry FROM h WHERE NOT old""")
 def b44_eliminated(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("warning_key"))
-    return D.eliminated(rows.where("event_id < 3"), rows.where("event_id >= 3 and event_id < 6"))
+    old, new = (x.select(F.concat_ws(":", "warning_key", "entry").alias("warning_key")) for x in halves(spark, d))
+    return D.eliminated(old, new)
