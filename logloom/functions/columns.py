@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom import schemas
 
-#: file(line[,col[-col]] or line:col): warning|error CODE: message
+#: Fixed value, the format of a diagnostic line: file(line[,col[-col]] or line:col): warning|error CODE: message
 DIAGNOSTIC = r"^(.*?)\((\d+(?:,\d+(?:-\d+)?|:\d+)?)\): (warning|error) (\w+): (.+)$"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import columns as C
 
+#: The formats of log lines (time, process, level, text).
 HEAD = r"^\[(\d{2}:\d{2}:\d{2}\.\d{3})\] \[(\d+)\] "
 OPEN = HEAD + r"\[D\] Compiling (.*?)\s+([^:]+:[^:]+:[0-9a-fA-F]+)\s+to\s+(.*)$"
 CLOSE = HEAD + r"\[D\] (?:Compiled shader|Adding Completed shader to map:) ([^:]+:[^:]+:[0-9a-fA-F]+)"

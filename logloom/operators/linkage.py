@@ -202,7 +202,7 @@ def best_candidates(scored: DataFrame) -> DataFrame:
 
 
 def good_enough(similar_names: Column) -> Column:
-    """Acceptance of a best candidate; similar_names is the similarity of the two names."""
+    """Acceptance of a best candidate; similar_names is the similarity of the two names. The bounds are fixed values."""
     most, least = F.greatest("total_fields", "host_total_fields"), F.least("total_fields", "host_total_fields")
     ratio = F.when(most > 0, least / most).otherwise(0.0)
     good = F.when(least > 0, (F.col("exact_matches") + F.col("high_sim_matches")) / least).otherwise(0.0)
