@@ -4,8 +4,8 @@ Rows are dealt by (length, content hash) of the normalised text. Each task inser
 a compressed radix trie whose terminal nodes hold the owner (most code points, then smallest id) and the
 number of rows. The rows of a task come sorted by (length, hash), Spark's sorter spilling if need be, so a
 trie over its memory budget is released by subtree: at the next change of key every string below it is
-complete. Copies inside a map batch are merged by the same trie before the shuffle, so a group holding a
-third of all rows sends one string per batch. The decision returns to the rows by a join on the SHA-256,
+complete. Copies inside a map task are merged by the same trie before the shuffle (released over its
+memory budget), so a group holding a third of all rows sends one string per task and budget. The decision returns to the rows by a join on the SHA-256,
 which AQE splits where one key is hot.
 
 Defined results: null text counts as empty; all empty texts are one group; null ids come last among
@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,15 +88,26 @@ LOCAL = pa.schema([("size", pa.int64()), ("hash", pa.int64()), ("norm", pa.binar
 OWNERS = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def _merge_batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches(parts):
-        trie, key = PatriciaTrie(), {}
-        for norm, n, doc_id, hashed in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            trie.insert(norm, n, NO_ID if doc_id is None else doc_id, 1)
-            key[norm] = hashed
-        rows = [(len(norm), key[norm], norm, *owner) for norm, owner in trie.owners()]
-        if rows:
-            yield record_batch(LOCAL, list(zip(*rows, strict=True)))
+def _merge(limit: int):
+    """Copies within a task become one row, as far as the trie's memory reaches."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PatriciaTrie()
+
+        def release():
+            owners = trie.owners()
+            while some := [(len(norm), xxhash.xxh64_intdigest(norm) - (1 << 63), norm, *owner) for norm, owner in islice(owners, 1000)]:
+                yield record_batch(LOCAL, list(zip(*some, strict=True)))
+
+        for part in batches(parts):
+            for norm, n, doc_id in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                trie.insert(norm, n, NO_ID if doc_id is None else doc_id, 1)
+            if trie.bytes > limit:
+                yield from release()
+                trie = PatriciaTrie()
+        yield from release()
+
+    return run
 
 
 def _own(limit: int):
@@ -122,7 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), F.translate(text, SPACES, "").alias("norm"))
-    local = rows.select(F.col("norm").cast("binary"), "n", "doc_id", F.xxhash64("norm")).mapInArrow(_merge_batch, ddl(LOCAL))
+    local = rows.select(F.col("norm").cast("binary"), "n", "doc_id").mapInArrow(_merge(trie_bytes // 2), ddl(LOCAL))
     dealt = local.repartition("size", "hash").sortWithinPartitions("size", "hash")
     owners = dealt.mapInArrow(_own(trie_bytes), ddl(OWNERS))
     marked = rows.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
