@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -30,11 +31,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "log
 
 
 def workers_can_import(spark: SparkSession) -> None:
-    """Puts this repository on the Python path of the workers (no-op where it is installed)."""
+    """Puts this repository on the Python path of the workers, and bounds their Arrow batches."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    # rows are texts: smaller Arrow batches bound what a worker and its JVM hold, unless the session says otherwise
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
