@@ -40,3 +40,20 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 def ddl(schema: pa.Schema) -> str:
     kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
+
+
+_kept: dict[str, object] = {}
+
+
+def keep(name: str, make=None):
+    """What a worker process keeps from task to task: one thing, made when first asked for.
+
+    Asking for another thing, or for nothing, lets the last one go, so that a worker that serves several
+    operators never holds the tables of all.
+    """
+    if name not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        if make is not None:
+            _kept[name] = make()
+    return _kept.get(name)

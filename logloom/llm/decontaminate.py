@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches, id_and_text, record_batch
+from logloom.llm.common import batches, id_and_text, keep, record_batch
 
 HITS = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64())), ("distance", pa.int64()), ("item_id", pa.int64())])
 HITS_DDL = "doc_id long, items array<long>, distance long, item_id long"
@@ -46,7 +46,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Vocabulary(dict):
     """Raw lower-cased word -> number: items' words from 2 on, 1 any other, 0 nothing but punctuation."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, items: list[list[bytes]]) -> None:
         super().__init__()
@@ -249,6 +249,7 @@ def _coded(index: Index, texts: list[bytes]) -> list[np.ndarray]:
 
 def _search(index: Index):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         for part in batches(parts, 2000):
             ids, texts = (c.to_pylist() for c in part.columns)
             found = index.find(_coded(index, texts))
@@ -260,6 +261,7 @@ def _search(index: Index):
 
 def _clean(index: Index, column: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         for part in batches(parts, 2000):
             texts = [(t or "").encode() for t in part.column(column).to_pylist()]
             yield part.filter(pa.array([not f for f in index.find(_coded(index, texts))], pa.bool_()))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import SPACES, batches, ddl, record_batch
+from logloom.llm.common import SPACES, batches, ddl, keep, record_batch
 
 NO_ID = (1 << 63) - 1
 
@@ -92,6 +92,7 @@ def _merge(limit: int):
     """Copies within a task become one row, as far as the trie's memory reaches."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         trie = PatriciaTrie()
 
         def release():
@@ -112,6 +113,7 @@ def _merge(limit: int):
 
 def _own(limit: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         trie, last = PatriciaTrie(), None
 
         def release():

@@ -22,19 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches, ddl, id_and_text, record_batch, utf8
+from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch, utf8
 
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-_letters: list[np.ndarray] = []
-
-
 def _is_letter() -> np.ndarray:
     """By code point: a letter, in the sense of str.isalpha."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    return keep("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def grams(text: str) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import batches, ddl, id_and_text, record_batch
+from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -48,7 +48,7 @@ class WordEncoder:
 
     CLOSING = b".,;:!?"
 
-    def __init__(self, tokenizer_path: str, remember: int = 300_000) -> None:
+    def __init__(self, tokenizer_path: str, remember: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -105,16 +105,6 @@ class WordEncoder:
             young[w] = young[base] + young[tail]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_for(tokenizer_path: str) -> WordEncoder:
-    """One encoder a worker process, so that later tasks find the words of earlier ones."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
-
-
 def karmarkar_karp(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indexes of sizes by window; near-equal windows, none above capacity. No size exceeds capacity."""
     total, k = sum(sizes), 1
@@ -167,7 +157,8 @@ def _flat(member) -> list[int]:
 
 def _pack(path: str, end_id: int, capacity: int, piece: int, windows: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, held = encoder_for(path), [], 0
+        # one encoder a worker process, so that later tasks find the words of earlier ones
+        encoder, block, held = keep(f"encoder {path}", lambda: WordEncoder(path)), [], 0
         base, sequence = TaskContext.get().partitionId() << 33, 0
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []

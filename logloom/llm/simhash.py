@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches, ddl, id_and_text, record_batch
+from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch
 from logloom.llm.components import components
 from logloom.session import checkpoint
 
@@ -67,6 +67,7 @@ def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...], step: int = 1
 
 def _prints(shingle: int, seeds: tuple[int, ...]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         for part in batches(parts, 500):
             ids, texts = (c.to_pylist() for c in part.columns)
             yield record_batch(PRINTS, [ids, [fingerprint(t, shingle, seeds) for t in texts]])
@@ -191,6 +192,7 @@ def _link(k: int, buffered: int = 40_000):
             yield record_batch(EDGES, [both[0], both[1]])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         held: list[tuple] = []
         n = 0
         for part in batches(parts, 10_000):
@@ -232,6 +234,7 @@ def tables_for(n_prints: int, agree: float, recall: float = 0.99) -> tuple[int,
 
 def _keyed(masks: list):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
         for part in batches(parts, 5000):
             prints = _words(part.column(0).to_pylist())
             for t, mask in enumerate(masks):
