@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom import schemas
 from logloom.functions import columns as C
 from logloom.functions.similarity import jaro_winkler_udf, name_similarity_udf
 from logloom.operators import diagnostics as D
