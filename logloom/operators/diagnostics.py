@@ -136,7 +136,7 @@ def context_lines(lines: DataFrame, hit: Column, order: str, line: str, partitio
 
 
 def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window") -> DataFrame:
-    """Events of the last `width` units of `at`, this one included.
+    """Events of the last `width` units of `at` (whole numbers), this one included.
 
     Time is cut into buckets of one width; a bucket's window also sees the bucket before it, so the buckets
     are independent tasks and the count is exact.
@@ -144,8 +144,10 @@ def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_win
     bucket = F.floor(at / width).cast("long")
     rows = events.withColumn("__at", at).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
     rows = rows.withColumn("__bucket", bucket + F.when(F.col("__own"), 0).otherwise(1))
-    w = Window.partitionBy("__bucket").orderBy("__at").rangeBetween(-width, Window.currentRow)
-    return rows.withColumn(name, F.count("*").over(w)).where("__own").drop("__at", "__own", "__bucket")
+    # two growing frames cost a step a row each, where a sliding frame is counted anew for every row
+    w = Window.partitionBy("__bucket").orderBy("__at")
+    upto, before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.unboundedPreceding, -width - 1)
+    return rows.withColumn(name, F.count("*").over(upto) - F.count("*").over(before)).where("__own").drop("__at", "__own", "__bucket")
 
 
 def row_numbers(rows: DataFrame, order: str, name: str, bits: int = 16) -> DataFrame:
