@@ -14,6 +14,11 @@ its shared bits already differ too often, or when all below is one component; it
 even its free bits cannot exceed the distance. Only a spanning forest leaves the task, never all pairs.
 A key with more than `HOT` fingerprints is split into blocks that are met in pairs by separate tasks.
 
+`keep_one` uses the fingerprints to find candidates only. Documents with the same set of shingles are merged; the
+others meet under bands of min-hashes, which find a pair at the similarity asked for at any number of
+documents, and a wide distance selects. Whatever candidates connect is then gathered with its texts, and only pairs
+whose shingle sets reach the similarity are linked. A candidate group of too many bytes is split into blocks that are met in pairs.
+
 Defined results: null text is empty, its fingerprint is zero and it links like any other; fewer words than
 a shingle form one shingle; a row with a null id joins only equal fingerprints and has no component of
 its own; repeated rows are one document; an empty table gives
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch
 from logloom.llm.components import components
+from logloom.llm.grid import mix, window_hash, word_hashes
 from logloom.session import checkpoint
 
 FAN = 8
@@ -43,6 +49,11 @@ NO_ID = (1 << 63) - 1
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 KEYED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary()), ("bands", pa.binary())])
+
+#: Bands of BAND_ROWS min-hashes: 0.9992 of the pairs at a similarity of 0.8 share one.
+BANDS, BAND_ROWS = 18, 5
+GROUP_BYTES = 16 << 20
 
 
 def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...], step: int = 1 << 16) -> bytes:
@@ -117,8 +128,19 @@ class GrayIndex:
                 parent = above
             self.label = parent[self.label]
 
-    def link(self, size: int = 1 << 14, right_from: int | None = None) -> np.ndarray:
-        """For every fingerprint, in the order given, the place of its component's representative."""
+    def _unite_verified(self, i: np.ndarray, j: np.ndarray, verify) -> None:
+        for c in range(0, len(i), 64):
+            a, b = i[c : c + 64], j[c : c + 64]
+            apart = self.label[a] != self.label[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if self.label[x] != self.label[y] and verify(int(self.order[x]), int(self.order[y])):
+                    self._unite(np.array([x]), np.array([y]))
+
+    def link(self, size: int = 1 << 14, verify=None) -> np.ndarray:
+        """For every fingerprint, in the order given, the place of its component's representative.
+
+        verify: decides on two places whether fingerprints within k bits are linked.
+        """
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -132,11 +154,11 @@ class GrayIndex:
             near = least <= self.k
             i, j, least, shared = i[near], j[near], least[near], shared[near]
             if not level:
-                self._unite(i, j)
+                self._unite(i, j) if verify is None else self._unite_verified(i, j, verify)
                 continue
             low, high = np.minimum.reduceat(self.label, start[:-1]), np.maximum.reduceat(self.label, start[:-1])
             one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
-            whole = ~one & (least + np.bitwise_count(~shared).sum(axis=1, dtype=np.int64) <= self.k)
+            whole = np.zeros_like(one) if verify else ~one & (least + np.bitwise_count(~shared).sum(axis=1, dtype=np.int64) <= self.k)
             for a, b in zip(i[whole], j[whole]):
                 below = np.concatenate((np.arange(start[a], start[a + 1]), np.arange(start[b], start[b + 1])))
                 self._unite(np.full(len(below), start[a]), below)
@@ -255,6 +277,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(_prints(shingle, seeds), ddl(PRINTS))
 
 
+def _meets(own, parts, key: str):
+    """Keys of the tasks of block `own` of a key in so many parts: block i meets block j in the task (i, j), i <= j."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.xxhash64(key, F.least(own, o), F.greatest(own, o))))
+
+
+def _edges(keyed: DataFrame, k: int) -> DataFrame:
+    """Links within k bits of the fingerprints that share a key."""
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    if not hot.isEmpty():
+        parts = F.ceil(F.col("n") / HOT).cast("int")
+        meets = _meets(F.pmod(F.xxhash64("fp"), parts).cast("int"), parts, "key")
+        keyed = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(meets)).alias("key"), "id", "fp")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(k), ddl(EDGES))
+
+
 def near_components(prints: DataFrame, k: int = 4, agree: float | None = None) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of (doc_id, fp): the smallest doc_id reachable by links of at most k bits.
 
@@ -266,14 +303,7 @@ def near_components(prints: DataFrame, k: int = 4, agree: float | None = None) -
     words = (distinct.agg(F.max(F.length("fp")).alias("n")).first()["n"] or 8) // 8
     masks = block_masks(n, k) if agree is None else sample_masks(words, *tables_for(n, agree))
     keyed = distinct.where(F.col("id") != NO_ID).select("fp", "id").mapInArrow(_keyed(masks), ddl(KEYED))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    if not hot.isEmpty():
-        parts = F.ceil(F.col("n") / HOT).cast("int")
-        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-        # block i of a hot key meets block j in the task (i, j), i <= j
-        meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
-        keyed = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(F.array_distinct(meets))).alias("key"), "id", "fp")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(k), ddl(EDGES))
+    edges = _edges(keyed, k)
     linked = components(edges)
     return distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
@@ -285,15 +315,127 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(near, "fp", "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct shingles as ascending 64-bit hashes."""
+    words = word_hashes(text.lower().split())
+    return np.unique(window_hash(words, min(shingle, len(words)), 0x9E3779B97F4A7C15)) if len(words) else words
+
+
+def set_print(hashes: np.ndarray, step: int = 1 << 14) -> bytes:
+    """256-bit fingerprint of a set of shingles."""
+    out = b""
+    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), step):
+            bits = np.unpackbits(mix(hashes[at : at + step] ^ np.uint64(seed)).view(np.uint8).reshape(-1, 8), axis=1)
+            ones += bits.sum(axis=0, dtype=np.uint32)
+        out += np.packbits(2 * ones > len(hashes)).tobytes()
+    return out
+
+
+def _band_factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    flips, factors = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+    return flips, factors | np.uint64(1)
+
+
+FLIPS, FACTORS = _band_factors()
+
+
+def band_keys(hashes: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """A key a band of min-hashes; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), step):
+        least = np.minimum(least, ((hashes[at : at + step] ^ FLIPS) * FACTORS).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
+
+
+def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep("nothing")
+    for part in batches(parts, 500):
+        ids, texts = (c.to_pylist() for c in part.columns)
+        sets = [shingle_set(t) for t in texts]
+        yield record_batch(SKETCHES, [ids, [xxhash.xxh128_digest(s.tobytes()) for s in sets], [set_print(s) for s in sets], [band_keys(s).tobytes() for s in sets]])
+
+
+def _banded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches(parts, 2000):
+        ids, prints, bands = (c.to_pylist() for c in part.columns)
+        keys = [np.frombuffer(b, np.int64) for b in bands]
+        sizes = [len(k) for k in keys]
+        row = np.repeat(np.arange(len(ids)), sizes)
+        if len(row):
+            yield record_batch(KEYED, [np.concatenate(keys), np.array(ids)[row], pa.array(prints, pa.binary()).take(pa.array(row))])
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Jaccard similarity of two ascending sets is at least `similarity`."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def verified_forest(ids: np.ndarray, sets: list[np.ndarray], k: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a group that are within k bits and reach the similarity."""
+    if len(ids) == 2:
+        return (ids[:1], ids[1:]) if alike(*sets, similarity) else (ids[:0], ids[:0])
+    index = GrayIndex(_words([set_print(s) for s in sets]), k)
+    root = index.link(verify=lambda x, y: alike(sets[x], sets[y], similarity))
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
+
+
+def _verify(k: int, similarity: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
+        group, ids, sets = None, [], []
+
+        def links():
+            if len(ids) > 1:
+                a, b = verified_forest(np.array(ids), sets, k, similarity)
+                if len(a):
+                    yield record_batch(EDGES, [a, b])
+
+        for part in batches(parts, 500):
+            for g, i, t in zip(*(c.to_pylist() for c in part.columns)):
+                if g != group:
+                    yield from links()
+                    group, ids, sets = g, [], []
+                ids.append(i)
+                sets.append(shingle_set(t))
+        yield from links()
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without those that are near copies of a row with a smaller id.
+    """The rows of docs, all columns, without those that links of near copies lead to a row with a smaller id.
 
-    256-bit fingerprints of five-word shingles. At a Jaccard similarity s two bits differ with probability
-    arccos(2s / (1 + s)) / pi, which gives the expected distance; the bound lies 1.3 deviations above it.
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at least
+    `similarity`. At a similarity s two fingerprint bits differ with probability at most
+    arccos(2s / (1 + s)) / pi; candidates lie within three deviations above that distance.
     Rows with a null id stay.
     """
     differ = acos(2 * similarity / (1 + similarity)) / pi
-    k = int(256 * differ + 1.3 * sqrt(256 * differ * (1 - differ)))
-    groups = simhash_components(docs, id_col, text_col, shingle=5, k=k, seeds=(42, 43, 44, 45), agree=1 - differ * 0.85)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id"))
+    k = int(256 * differ + 3 * sqrt(256 * differ * (1 - differ)))
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    sketches = checkpoint(texts.mapInArrow(_sketch, ddl(SKETCHES)))
+    distinct = checkpoint(sketches.groupBy("digest", "fp", "bands").agg(F.min("doc_id").alias("id")))
+    near = components(_edges(distinct.select("id", "fp", "bands").mapInArrow(_banded, ddl(KEYED)), k))
+    # one text a document of every group of candidates
+    grouped = checkpoint(texts.join(near, F.col("doc_id") == F.col("node")).select(F.col("component").alias("key"), "doc_id", "t"))
+    large = grouped.groupBy("key").agg(F.sum(F.octet_length("t")).alias("n")).where(F.col("n") > GROUP_BYTES)
+    if not large.isEmpty():
+        parts = F.ceil(F.col("n") / (GROUP_BYTES // 2)).cast("int")
+        meets = _meets(F.pmod(F.xxhash64("doc_id"), parts).cast("int"), parts, "key")
+        grouped = grouped.join(large, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(meets)).alias("key"), "doc_id", "t")
+    linked = components(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(k, similarity), ddl(EDGES)))
+    least = distinct.join(linked, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("least"))
+    gone = sketches.join(least, "digest").where("least < doc_id").select(F.col("doc_id").alias("__gone_id"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
