@@ -1,7 +1,7 @@
 """Main-text extraction with site template removal.
 
 A page is parsed into a tree whose block elements get a hash of their subtree (tag, text and children, not
-attributes). Spark counts on how many pages of a host each hash occurs; a subtree that recurs across many
+attributes). Spark counts on how many pages of a host each hash occurs, pages with equal main containers once; a subtree that recurs across many
 pages of its host is template and is deleted. What "many" is depends on the place, because articles quote
 and copy each other: inside the main container, or for running text, more than `main_share` of the host's
 pages and at least `main_pages`; for other containers outside it, `outside_share` and `outside_pages`.
@@ -16,7 +16,7 @@ third of all pages adds rows, not groups: counting is pre-aggregated, the join b
 and split by AQE, and no task gathers a host.
 
 Defined results: null html is empty; a page without text gives an empty string; a null url is host ''; broken
-markup is read leniently, unknown references stay as written; repeated rows count and are returned each; an empty table gives no rows.
+markup is read leniently, unknown references stay as written; repeated rows count once and are returned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from logloom.session import checkpoint
 
 BROADCAST_BYTES = 8 << 20
 
-SUBTREES = pa.schema([("key", pa.int64()), ("host", pa.int64()), ("subtree", pa.int64())])
+SUBTREES = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("host", pa.int64()), ("subtree", pa.int64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 #: Element names of HTML.
@@ -252,10 +252,11 @@ def _subtrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
             host = xxhash.xxh64_intdigest(host_of(url)) - (1 << 63)
-            rows.append((key, host, 0))
             # of a page that names its main container, only what lies inside can matter
             main = main_container(parse(html))[0]
-            rows.extend((key, host, h) for h in {n.subtree for n in hash_subtrees(main) if n is not main})
+            blocks = hash_subtrees(main)
+            rows.append((key, main.subtree, host, 0))
+            rows.extend((key, main.subtree, host, h) for h in {n.subtree for n in blocks if n is not main})
         if rows:
             yield record_batch(SUBTREES, list(zip(*rows, strict=True)))
 
@@ -277,7 +278,8 @@ def extract_main_text(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
     seen = rows.select("key", "url", "html").mapInArrow(_subtrees, ddl(SUBTREES))
-    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    # copies of a page are one content, whatever stands around their main container
+    counted = seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     hosts = counted.where("subtree = 0").select(F.col("host").alias("host_"), F.col("n").alias("pages"))
     many = counted.where(F.col("subtree") != 0).where(F.col("n") >= min(main_pages, outside_pages)).join(hosts, F.col("host") == F.col("host_"))
     template = many.select(
