@@ -2,9 +2,10 @@
 
 A page is parsed into a tree whose block elements get a hash of their subtree (tag, text and children, not
 attributes). Spark counts on how many pages of a host each hash occurs, pages with equal main containers once; a subtree that recurs across many
-pages of its host is template and is deleted. What "many" is depends on the place, because articles quote
-and copy each other: inside the main container, or for running text, more than `main_share` of the host's
-pages and at least `main_pages`; for other containers outside it, `outside_share` and `outside_pages`.
+pages of its host is template and is deleted. What "many" is depends on the kind, because articles quote
+and copy each other: for running text (paragraphs, headings, list items), more than `main_share` of the host's pages and
+at least `main_pages`; for other containers `outside_share` and `outside_pages`. If such containers hold more than half
+of a named main container, the page is a near copy of others and keeps them.
 Elements that are boilerplate by kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 reader comments; by tag, role, class or id) are dropped on any page. The main container is the longest
 article, else main, else a container named as content, else the body without link lists.
@@ -204,12 +205,28 @@ def _links(node: Node) -> tuple[int, int]:
     return total, linked
 
 
+def _recurring(main: Node, loose: frozenset[int] | set[int]) -> set[int]:
+    """The subtrees of containers inside a named main container that recur, unless they are most of its text."""
+    found, total, stack = set(), 0, [main]
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, Node) or boilerplate(c, True):
+                continue
+            if c.subtree and c.subtree in loose and c.tag not in INLINE and c.tag not in RUNNING:
+                found.add(c.subtree)
+                total += _size(c)
+            else:
+                stack.append(c)
+    return found if found and 2 * total <= _size(main) else set()
+
+
 def main_text(html: str, strict: frozenset[int] | set[int] = frozenset(), loose: frozenset[int] | set[int] = frozenset()) -> str:
-    """strict: subtrees that are template anywhere; loose: template as containers outside a named main text."""
+    """strict: subtrees that are template anywhere; loose: template as containers."""
     root = parse(html)
     if strict or loose:
         hash_subtrees(root)
     main, named = main_container(root)
+    boxes = _recurring(main, loose) if named and loose else set()
     blocks: list[list[str]] = [[]]
 
     # depth first without recursion: an int closes a block
@@ -226,7 +243,7 @@ def main_text(html: str, strict: frozenset[int] | set[int] = frozenset(), loose:
             blocks[-1].append(" ")
             continue
         if node is not main:
-            if boilerplate(node, named) or node.subtree in strict and node.subtree:
+            if boilerplate(node, named) or node.subtree and (node.subtree in strict or node.subtree in boxes and node.tag not in INLINE and node.tag not in RUNNING):
                 continue
             if not named and node.tag not in INLINE and node.tag not in RUNNING and node.tag not in ("html", "body"):
                 total, linked = _links(node)

@@ -20,3 +20,20 @@ def test_copies_of_a_page_keep_their_text(spark):
     # without a named container, and with equal rows
     got = texts(spark, [article(0)] * 12 + [article(1)])
     assert all(t.endswith(f"item {i // 12}") for i, t in got.items())
+
+
+def test_containers_that_recur_inside_the_article_go(spark):
+    box = "<div class='x7'><p>Read our other guides</p><ul><li>one</li></ul></div>"
+    quote = "<p>As everybody says here.</p>"
+    page = "<body><article>{a}{b}{q}</article></body>"
+    # few pages, and a small share of many pages; running text that recurs stays
+    for n, every in ((6, 2), (60, 10)):
+        got = texts(spark, [page.format(a=article(i), b=box if i % every == 0 else "", q=quote if i % 2 else "") for i in range(n)])
+        assert not any("guides" in t for t in got.values())
+        assert all(t.startswith(f"Title {i} words") and f"item {i}" in t and t.endswith("says here.") == bool(i % 2) for i, t in got.items())
+
+
+def test_near_copies_of_an_article_keep_their_text(spark):
+    parts = "".join(f"<section><p>{'words of a section ' * 20}{k}</p></section>" for k in range(3))
+    got = texts(spark, [f"<body><article><h1>Title {i}</h1>{parts}</article></body>" for i in range(5)])
+    assert all(t.count("words of a section") == 60 for t in got.values())
