@@ -7,8 +7,9 @@ and copy each other: for running text (paragraphs, headings, list items), more t
 at least `main_pages`; for other containers `outside_share` and `outside_pages`. If such containers hold more than half
 of a named main container, the page is a near copy of others and keeps them.
 Elements that are boilerplate by kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-reader comments; by tag, role, class or id) are dropped on any page. The main container is the longest
-article, else main, else a container named as content, else the body without link lists.
+reader comments; by tag, role, class or id) are dropped on any page. The main container is
+every outermost article or main in page order, else every outermost container named as content, else the body
+without link lists.
 
 Only subtrees inside the main container, where the page names one, are counted. What a page must lose is
 sent to every task while it is small (its size is checked), else joined by a shuffle.
@@ -168,26 +169,29 @@ def _size(node: Node) -> int:
 
 
 def main_container(root: Node) -> tuple[Node, bool]:
-    """The container of the main text, and whether the page names it."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
-    stack = [root]
+    """The container of the main text, and whether the page names it; several are put under one node in page order."""
+    main: list[Node] = []
+    named: list[Node] = []
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        for c in node.children:
-            if not isinstance(c, Node) or c.tag in INLINE or boilerplate(c, False):
+        node, inside = stack.pop()
+        if node is not root:
+            if node.tag in INLINE or boilerplate(node, False):
+                continue
+            names, attributes = node.names()
+            if node.tag in ("article", "main") or attributes.get("role") == "main":
+                main.append(node)
                 continue
-            names, attributes = c.names()
-            if c.tag == "article":
-                found["article"].append(c)
-            elif c.tag == "main" or attributes.get("role") == "main":
-                found["main"].append(c)
-            elif attributes.get("itemprop") == "articleBody" or c.tag in ("div", "section", "td") and names & MAIN_NAMES:
-                found["named"].append(c)
-            stack.append(c)
-    for kind in ("article", "main", "named"):
-        if found[kind]:
-            return max(found[kind], key=_size), True
-    return root, False
+            if not inside and (attributes.get("itemprop") == "articleBody" or node.tag in ("div", "section", "td") and names & MAIN_NAMES):
+                named.append(node)
+                inside = True
+        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+    found = main or named
+    if len(found) < 2:
+        return (found[0], True) if found else (root, False)
+    together = Node("#main")
+    together.children.extend(found)
+    return together, True
 
 
 def _links(node: Node) -> tuple[int, int]:

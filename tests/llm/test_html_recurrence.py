@@ -1,4 +1,4 @@
-from logloom.llm.html_extract import extract_main_text
+from logloom.llm.html_extract import extract_main_text, main_text
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -37,3 +37,9 @@ def test_near_copies_of_an_article_keep_their_text(spark):
     parts = "".join(f"<section><p>{'words of a section ' * 20}{k}</p></section>" for k in range(3))
     got = texts(spark, [f"<body><article><h1>Title {i}</h1>{parts}</article></body>" for i in range(5)])
     assert all(t.count("words of a section") == 60 for t in got.values())
+
+
+def test_all_main_containers_in_page_order():
+    assert main_text("<body><p>x</p><article><p>a</p></article><div><article><p>longer b</p></article></div><aside><article>y</article></aside></body>") == "a longer b"
+    assert main_text("<body><nav>n</nav><main><h1>Title</h1><article><p>text</p></article><p>end</p></main></body>") == "Title text end"
+    assert main_text("<body><section class='content'><p>a</p></section><p>x</p><section class='content'><div class='body'><p>b c</p></div></section></body>") == "a b c"
