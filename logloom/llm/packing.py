@@ -16,13 +16,14 @@ each; null ids are kept; a text longer than a window spans several; an empty tab
 from __future__ import annotations
 
 import heapq
-import struct
+import string
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -34,75 +35,159 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 #: The printable character that stands for each byte in byte-level vocabularies.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 8 << 20
 
 
 class WordEncoder:
-    """Ids of a text from ids of its chunks between ASCII spaces.
+    """Ids of texts from ids of their chunks between ASCII spaces.
 
-    Sound for tokenizers that drop white space and never look across it, as the default one does: its
-    normaliser composes and lower-cases character by character, its splitter never keeps white space, keeps
-    runs of letters whole and parts them from punctuation. A new chunk is a word and closing punctuation; a
-    word of composed letters alone goes straight to the tokenizer's model, everything else to the tokenizer.
-    Two generations of remembered chunks bound the memory and keep frequent ones.
+    Sound for tokenizers that drop white space, never look across it and mark the end of a word in its last
+    id, as the default one does: its normaliser composes and lower-cases character by character, its splitter
+    never keeps white space, keeps runs of letters whole and parts them from punctuation. Arrow splits a batch
+    and numbers its distinct chunks; only those are looked up, and numpy gathers the ids. New words of composed
+    letters go to the tokenizer's model many at a time, parted again at their end marks, with closing
+    punctuation learned apart; everything else goes to the tokenizer. Two generations of remembered chunks
+    bound the memory and keep frequent ones.
     """
 
-    CLOSING = b".,;:!?"
+    CLOSING = string.punctuation.encode()
+    END, EMPTY = 0, 1
 
-    def __init__(self, tokenizer_path: str, remember: int = 250_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_path: str, end_id: int, remember: int = 400_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.encode, self.tokenize = tokenizer.encode_batch_fast, tokenizer.model.tokenize
-        self.remember, self.young, self.old = remember, {}, {}
+        self.encode = tokenizer.encode_batch_fast
+        plain = Tokenizer(tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.encode_words = plain.encode_batch_fast
+        suffix = tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("the tokenizer's model marks no word ends")
+        vocabulary = plain.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+        self.end_id, self.remember = end_id, remember
+        self.young: dict[bytes, int] = {}
+        self._start_generation(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _start_generation(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Slots END and EMPTY, then the young chunks, which become the old ones."""
+        self.old = {w: slot for slot, w in enumerate(self.young, 2)}
+        self.young = {b"": self.EMPTY}
+        self.sizes = np.concatenate(([1, 0], sizes))
+        self.ids = np.concatenate((np.array([self.end_id], np.uint32), _gather(ids, starts, sizes)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of all texts (binary), each closed by the end id, and where each text ends."""
+        texts = texts.view(pa.string())
         # a marker of a special token counts in its own case only, so such a text stays as it is
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        young, old = self.young, self.old
-        missing = []
-        for w in set().union(*words):
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(lowered)
+        coded = words.flatten().dictionary_encode()
+        slots = self._slots(_values(coded.dictionary))
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        chunk = np.insert(slots[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), ends, self.END)
+        sizes = self.sizes[chunk]
+        out = _gather(self.ids, self.starts[chunk], sizes)
+        closed = np.cumsum(sizes)[ends + np.arange(len(ends))]
+        if len(self.young) > self.remember:
+            kept = np.fromiter(self.young.values(), np.int64, len(self.young))
+            self._start_generation(self.starts[kept], self.sizes[kept], self.ids)
+        return out, closed
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        young, old, missing = self.young, self.old, []
+        for w in words:
             if w not in young:
-                known = old.get(w)
-                if known is None:
+                slot = old.get(w)
+                if slot is None:
                     missing.append(w)
                 else:
-                    young[w] = known
+                    young[w] = slot
         if missing:
             self._learn(missing)
-        out = [b"".join(map(young.__getitem__, w)) for w in words]
-        if len(young) > self.remember:
-            self.old, self.young = young, {}
-        return out
+        return np.fromiter(map(young.__getitem__, words), np.int64, len(words))
 
     def _learn(self, missing: list[bytes]) -> None:
-        young, odd, pack, tokenize = self.young, {}, struct.pack, self.tokenize
-        parted = []
+        young, bases, odd, parted = self.young, {}, {}, []
         for w in missing:
             base = w.rstrip(self.CLOSING)
-            if base.isalpha() and base.islower():  # ASCII letters alone
-                name = base.decode()
-            else:
-                text = "".join(map(str.lower, base.decode("utf-8", "replace")))
-                if not text[-1:].isalpha():
-                    odd[w] = w.decode("utf-8", "replace")
-                    continue
-                if text.isalpha() and is_normalized("NFC", text):
-                    name = text.encode().decode("latin-1").translate(BYTE_LEVEL)
-                else:
-                    odd[base], name = base.decode("utf-8", "replace"), None
-            if name is not None and base not in young:
-                ids = [x.id for x in tokenize(name)]
-                young[base] = pack(f"<{len(ids)}I", *ids)
+            # punctuation stands alone after a letter or digit only
+            if not base or b"<|" in w or not (base[-1:].isalnum() or base[-1] > 127 and base[-4:].decode("utf-8", "ignore").lower()[-1:].isalpha()):
+                odd[w] = None
+                continue
+            bases[base] = None
             if len(base) < len(w):
                 tail = w[len(base) :]
                 parted.append((w, base, tail))
                 if tail not in young:
-                    odd[tail] = tail.decode()
-        for w, e in zip(odd, self.encode(list(odd.values()), add_special_tokens=False)):
-            young[w] = pack(f"<{len(e.ids)}I", *e.ids)
-        for w, base, tail in parted:
-            young[w] = young[base] + young[tail]
+                    odd[tail] = None
+        bases = [b for b in bases if b not in young]
+        ascii_, other = [], []
+        for b in bases:
+            (ascii_ if b.isalpha() else other).append(b)
+        words, names = ascii_, [b.lower().decode() for b in ascii_]
+        if other:
+            joined = b"\n".join(other).decode("utf-8", "replace")
+            composed = is_normalized("NFC", joined)
+            # a capital sigma's lower case depends on its neighbours, but not for the tokenizer
+            lowered = "".join(map(str.lower, joined)) if "\u03a3" in joined else joined.lower()
+            letters = []
+            for b, low in zip(other, lowered.split("\n"), strict=True):
+                if low.isalpha() and (composed or is_normalized("NFC", low)):
+                    words.append(b)
+                    letters.append(low)
+                else:
+                    odd[b] = None
+            if letters:
+                names += "\n".join(letters).encode().decode("latin-1").translate(BYTE_LEVEL | {10: 10}).split("\n")
+        if words:
+            found = self.encode_words([" ".join(names[i : i + 500]) for i in range(0, len(names), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            self._add(words, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+        odd = [w for w in odd if w not in young]
+        if odd:
+            each = [e.ids for e in self.encode([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)]
+            self._add(odd, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+        if parted:
+            pairs = np.array([(young[base], young[tail]) for _, base, tail in parted])
+            self._add([w for w, _, _ in parted], _gather(self.ids, self.starts[pairs.ravel()], self.sizes[pairs.ravel()]), self.sizes[pairs].sum(axis=1))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(sizes) != len(words) or sizes.sum() != len(ids):
+            raise ValueError("the tokenizer's word ends do not part its ids")
+        self.young.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, ids))
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of values that start there, one after the other."""
+    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+def _values(strings: pa.Array) -> list[bytes]:
+    _, offsets, data = strings.buffers()
+    if data is None:
+        return [b""] * len(strings)
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = data.to_pybytes()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def _steps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 1000 rows and, but for single texts, about STEP_BYTES of text."""
+    for part in batches(parts, 1000):
+        total = np.cumsum(pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy())
+        at = 0
+        while at < len(total):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_BYTES, side="right")))
+            yield part.slice(at, end - at)
+            at = end
 
 
 def karmarkar_karp(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -158,9 +243,8 @@ def _flat(member) -> list[int]:
 def _pack(path: str, end_id: int, capacity: int, piece: int, windows: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one encoder a worker process, so that later tasks find the words of earlier ones
-        encoder, block, held = keep(f"encoder {path}", lambda: WordEncoder(path)), [], 0
+        encoder, block, held = keep(f"encoder {path} {end_id}", lambda: WordEncoder(path, end_id)), [], 0
         base, sequence = TaskContext.get().partitionId() << 33, 0
-        end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
 
         def close():
@@ -173,19 +257,20 @@ def _pack(path: str, end_id: int, capacity: int, piece: int, windows: int):
                 sequence += 1
             block.clear()
 
-        for part in batches(parts, 1000):
-            ids, texts = (c.to_pylist() for c in part.columns)
-            for doc_id, coded in zip(ids, encoder.ids(texts), strict=True):
-                coded += end
-                n = len(coded) // 4
+        for part in _steps(parts):
+            ids, ends = encoder(part.column(1))
+            first = 0
+            for doc_id, last in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
+                coded, n = ids[first:last], last - first
+                first = last
                 full = n - n % capacity
                 for start in range(0, full, capacity):
-                    out.append((doc_id, start, capacity, zlib.crc32(coded[4 * start : 4 * (start + capacity)]), n, base + sequence, 0))
+                    out.append((doc_id, start, capacity, zlib.crc32(coded[start : start + capacity]), n, base + sequence, 0))
                     sequence += 1
                 if rest := n - full:
                     cuts = -(-rest // piece)
                     at = [full + rest * c // cuts for c in range(cuts + 1)]
-                    block.extend((doc_id, a, b - a, zlib.crc32(coded[4 * a : 4 * b]), n) for a, b in zip(at, at[1:]))
+                    block.extend((doc_id, a, b - a, zlib.crc32(coded[a:b]), n) for a, b in zip(at, at[1:]))
                     held += rest
                 if held >= 2 * windows * capacity:
                     # close all but a last part as large as a block, so that no small block is left over
