@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 
 from logloom import schemas
 
+Make = Callable[[str, str, str, list[str]], list[str]]
+Run = Callable[[list[str]], tuple[str, bool]]
 EXTENSIONS = {"VSHADER": "vso", "PSHADER": "pso", "CSHADER": "cso"}
 PROFILES = {"VSHADER": "vs_5_0", "PSHADER": "ps_5_0", "CSHADER": "cs_5_0"}
 
 
-def command(compiler: str, root: str, out: str, file: str, kind: str, entry: str, defines: list[str]) -> list[str]:
+def command(compiler: str, root: str, out: str, file: str, kind: str, entry: str, defines: list[str], level: int = 1, partial: bool = False) -> list[str]:
     """Arguments for one task; the output is <out>/<file stem>/<last part of the entry>.<extension>."""
     stem = file.rpartition("/")[2].rpartition(".")[0]
     target = f"{out}/{stem}/{entry.rpartition(':')[2]}.{EXTENSIONS.get(kind, 'bin')}"
-    return [compiler, "-nologo", "-E", "main", "-T", PROFILES.get(kind, "lib"), f"{root}/{file}", *[x for d in defines for x in ("-D", d)], "-Fo", target]
+    return [compiler, "-nologo", "-E", "main", "-T", PROFILES.get(kind, "lib"), f"-O{level}", *(["-Gfp"] if partial else []), "-I", root, f"{root}/{file}", *[x for d in defines for x in ("-D", d)], "-Fo", target]
 
 
 def run_command(args: list[str], timeout: float = 600) -> tuple[str, bool]:
@@ -29,7 +31,7 @@ def run_command(args: list[str], timeout: float = 600) -> tuple[str, bool]:
         return str(problem), False
 
 
-def compile_tasks(tasks: DataFrame, make: Callable[[str, str, str, list[str]], list[str]], run: Callable[[list[str]], tuple[str, bool]] = run_command) -> DataFrame:
+def compile_tasks(tasks: DataFrame, make: Make, run: Run = run_command) -> DataFrame:
     """Compile results of tasks (seq, file, shader_type, entry, defines); seq keeps the order of the tasks."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -62,6 +62,29 @@ def new_warnings(found: DataFrame) -> DataFrame:
     return first.select("warning_key", "shader_type", "entry", "d.code", "d.message", "d.location", "d.file", "seq")
 
 
+def by_place(hits: DataFrame) -> DataFrame:
+    """One row per (warning_key, location): its distinct entries in order of arrival, code, message, first seq."""
+    each = hits.groupBy("warning_key", "location", "entry").agg(F.min("seq").alias("seq"), F.min_by(F.struct("code", "message"), "seq").alias("d"))
+    entries = F.transform(F.array_sort(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("seq", "entry")))), lambda x: x["entry"])
+    return each.groupBy("warning_key", "location").agg(entries.alias("entries"), F.min_by("d", "seq").alias("d"), F.min("seq").alias("seq")).select("warning_key", "location", "entries", "d.code", "d.message", "seq")
+
+
+def ranked_warnings(places: DataFrame, order: str, n: int, shown_places: int = 3, shown_entries: int = 2) -> DataFrame:
+    """The n first warnings of by_place by `order` (instances or combinations), with their share and first places.
+
+    Ties go to the smaller key. samples: of the first places, the location, the first entries and how many more.
+    """
+    rows = places.withColumn("n", F.size("entries"))
+    totals = rows.groupBy("warning_key").agg(F.count("*").alias("instances"), F.sum("n").alias("combinations"), F.min_by(F.struct("code", "message"), "seq").alias("d"))
+    best = top(share(totals, order), [F.desc(order), F.asc("warning_key")], n)
+    first = F.row_number().over(Window.partitionBy("warning_key").orderBy("seq", "location"))
+    sample = F.struct(F.col("p"), F.col("location"), F.slice("entries", 1, shown_entries).alias("entries"), F.greatest(F.col("n") - shown_entries, F.lit(0)).alias("more"))
+    # the best are n rows
+    kept = rows.join(F.broadcast(best.select("warning_key")), "warning_key", "left_semi").withColumn("p", first).where(F.col("p") <= shown_places)
+    samples = kept.groupBy("warning_key").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    return best.join(samples, "warning_key").select("warning_key", "d.code", "d.message", "instances", "combinations", "percent", "samples").orderBy(F.desc(order), "warning_key")
+
+
 def instance_counts(hits: DataFrame) -> DataFrame:
     """Distinct locations and affected (location, entry) pairs of each warning, most affected first."""
     pairs = hits.groupBy("warning_key").agg(F.count_distinct("location").alias("instances"), F.count_distinct("location", F.coalesce("entry", F.lit(""))).alias("combinations"))
@@ -89,7 +112,10 @@ def eliminated(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def file_summary(baseline: DataFrame, new: DataFrame, file: str, triple: list[str]) -> DataFrame:
-    """file, baseline, new, total: distinct triples on both sides, total counts common ones twice; only files with new ones."""
+    """file, baseline, new, total: distinct triples on both sides, total counts common ones twice; only files with new ones.
+
+    A report orders it by new, most first.
+    """
     sides = baseline.select(*triple, F.lit(1).alias("b"), F.lit(0).alias("n")).unionByName(new.select(*triple, F.lit(0).alias("b"), F.lit(1).alias("n")))
     each = sides.groupBy(*triple).agg(F.max("b").alias("b"), F.max("n").alias("n"))
     by_file = each.groupBy(file).agg(F.sum("b").alias("baseline"), F.sum(F.when((F.col("n") == 1) & (F.col("b") == 0), 1).otherwise(0)).alias("new"), F.sum(F.col("b") + F.col("n")).alias("total"))
@@ -135,19 +161,24 @@ def context_lines(lines: DataFrame, hit: Column, order: str, line: str, partitio
     return lines.withColumn("context", F.collect_list(line).over(w)).where(hit)
 
 
-def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window") -> DataFrame:
-    """Events of the last `width` units of `at` (whole numbers), this one included.
+def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window", bits: int = 16) -> DataFrame:
+    """Events of the last `width` units of `at` (whole numbers), this one included; null where `at` is null.
 
-    Time is cut into buckets of one width; a bucket's window also sees the bucket before it, so the buckets
-    are independent tasks and the count is exact.
+    Events are counted by time first. The count of a window is the running count at its end less the one
+    before its start; both are read off the same running count, which is made in chunks of 2^bits units
+    with the counts before each chunk carried by one row a chunk. A task holds at most two rows a unit of
+    time, whatever the width and however many events share a time.
     """
-    bucket = F.floor(at / width).cast("long")
-    rows = events.withColumn("__at", at).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("__bucket", bucket + F.when(F.col("__own"), 0).otherwise(1))
-    # two growing frames cost a step a row each, where a sliding frame is counted anew for every row
-    w = Window.partitionBy("__bucket").orderBy("__at")
-    upto, before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.unboundedPreceding, -width - 1)
-    return rows.withColumn(name, F.count("*").over(upto) - F.count("*").over(before)).where("__own").drop("__at", "__own", "__bucket")
+    rows = events.withColumn("__at", at.cast("long"))
+    counted = rows.where("__at is not null").groupBy("__at").agg(F.count("*").alias("__n"))
+    mark = lambda t, n, sign: F.struct(t.alias("t"), n.cast("long").alias("n"), F.lit(sign).alias("sign"), F.col("__at").alias("of"))
+    marks = counted.select(F.explode(F.array(mark(F.col("__at"), F.col("__n"), 1), mark(F.col("__at") - width - 1, F.lit(0), -1))).alias("m")).select("m.*").withColumn("chunk", F.shiftright("t", bits))
+    before = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    upto = Window.partitionBy("chunk").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = marks.withColumn("upto", F.sum("n").over(upto)).join(carried, "chunk")
+    windows = running.groupBy(F.col("of").alias("__t")).agg(F.sum(F.col("sign") * (F.col("upto") + F.col("carried"))).alias(name))
+    return rows.join(windows, F.col("__at") == F.col("__t"), "left").drop("__at", "__t")
 
 
 def row_numbers(rows: DataFrame, order: str, name: str, bits: int = 16) -> DataFrame:

@@ -31,12 +31,18 @@ def pair_lifo(events: DataFrame, keys: list[str], seq: str, kind: str, end: str
     return nexts.withColumn(end, F.when(F.col("__what") == -1, F.col("__next"))).drop("__s", "__low", "__depth", "__next", "__what")
 
 
+def file_of(lines: DataFrame) -> list[str]:
+    """The column that parts several logs, if there is one; every key and order below starts with it."""
+    return [c for c in ("path",) if c in lines.columns]
+
+
 def log_events(lines: DataFrame) -> DataFrame:
-    """Typed events of (line_no, line): kind 1 opens, -1 closes."""
+    """Typed events of ([path,] line_no, line): kind 1 opens, -1 closes."""
     x = lambda pattern, i: F.regexp_extract("line", pattern, i)
     opens, closes = F.col("line").rlike(OPEN), F.col("line").rlike(CLOSE)
     kind = F.when(opens, 1).when(closes, -1)
     return lines.where(opens | closes).select(
+        *file_of(lines),
         F.col("line_no").alias("seq"),
         kind.alias("kind"),
         F.when(opens, x(OPEN, 2)).otherwise(x(CLOSE, 2)).alias("process_id"),
@@ -48,11 +54,12 @@ def log_events(lines: DataFrame) -> DataFrame:
 
 
 def log_tasks(lines: DataFrame) -> DataFrame:
-    """Tasks: each opening line with its start and, where it was closed, its end."""
+    """Tasks: each opening line with its start and, where it was closed in the same log, its end."""
     # the closing time travels in the ordering value, so no second join is needed
     events = log_events(lines).withColumn("at", F.struct("seq", "ms"))
-    paired = pair_lifo(events, ["process_id", "entry_point"], "at", "kind", "closed")
-    return paired.select("seq", "process_id", "entry_point", "file_path", "defines", F.col("ms").alias("start_ms"), F.col("closed.ms").alias("end_ms"))
+    part = file_of(lines)
+    paired = pair_lifo(events, [*part, "process_id", "entry_point"], "at", "kind", "closed")
+    return paired.select(*part, "seq", "process_id", "entry_point", "file_path", "defines", F.col("ms").alias("start_ms"), F.col("closed.ms").alias("end_ms"))
 
 
 #: Ordered lines are handled in chunks of so many order values, so that one long log is many tasks.
@@ -93,34 +100,65 @@ def with_next(lines: DataFrame, value: str, order: str, name: str, partition: li
 
 def block_warnings(lines: DataFrame) -> DataFrame:
     """Warning lines of `Shader logs:` blocks with the block's process and time."""
+    part = file_of(lines)
     clean = lines.withColumn("line", F.trim("line"))
     header = F.col("line").rlike(BLOCK)
-    inside = islands(clean, header, (F.col("line") == "") | F.col("line").startswith("["), "line_no", ["path"] if "path" in lines.columns else None)
-    heads = clean.where(header).select(F.col("line_no").alias("head"), F.regexp_extract("line", BLOCK, 2).alias("process_id"), C.time_ms("line").alias("ms"))
+    inside = islands(clean, header, (F.col("line") == "") | F.col("line").startswith("["), "line_no", part)
+    heads = clean.where(header).select(*part, F.col("line_no").alias("head"), F.regexp_extract("line", BLOCK, 2).alias("process_id"), C.time_ms("line").alias("ms"))
     d = inside.withColumn("d", C.diagnostic("line")).where("d.severity = 'warning'")
     place = F.lower(F.concat_ws(":", C.log_path("d.file"), F.col("d.place")))
-    return d.join(heads, "head").select("head", "process_id", "ms", F.col("line_no").alias("seq"), C.warning_key(F.col("d.code"), F.col("d.message")).alias("warning_key"), F.col("d.code").alias("code"), F.col("d.message").alias("message"), place.alias("location"))
+    return d.join(heads, [*part, "head"]).select(*part, "head", "process_id", "ms", F.col("line_no").alias("seq"), C.warning_key(F.col("d.code"), F.col("d.message")).alias("warning_key"), F.col("d.code").alias("code"), F.col("d.message").alias("message"), place.alias("location"))
+
+
+#: Time is a tree of nodes of RADIX children each.
+RADIX_BITS = 4
 
 
-def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, point_id: str, start: str, end: str, seq: str, bins: int = 64) -> DataFrame:
+def _covering(first: Column, last: Column, levels: int) -> Column:
+    """The (level, node) pairs that cover first..last exactly: at each level what the parents above don't."""
+    parts = []
+    low = lambda n: F.shiftright(first + ((1 << RADIX_BITS * n) - 1), RADIX_BITS * n)
+    high = lambda n: F.shiftright(last + 1, RADIX_BITS * n) - 1
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    for n in range(levels):
+        a, b = low(n), high(n)
+        if n + 1 < levels:
+            up, down = F.shiftleft(low(n + 1), RADIX_BITS), F.shiftleft(high(n + 1) + 1, RADIX_BITS)
+            nodes = F.when(up < down, F.concat(run(a, F.least(b, up - 1)), run(F.greatest(a, down), b))).otherwise(run(a, b))
+        else:
+            nodes = run(a, b)
+        level = F.lit(n).alias("level")
+        parts.append(F.transform(nodes, lambda x: F.struct(level, x.alias("node"))))  # noqa: B023
+    return F.concat(*parts)
+
+
+def as_of(points: DataFrame, intervals: DataFrame, key: str | list[str], at: str, point_id: str, start: str, end: str, seq: str) -> DataFrame:
     """Each point with the latest interval (by seq) of its key that holds it; points without one fall out.
 
-    Intervals are cut at bin edges and joined on (key, bin), so a key with many points and intervals costs
-    what meets in a bin, spread over bins, instead of their product in one task. An open interval (null
-    end) reaches to the last bin.
+    Time is a tree of nodes; an interval is kept at the few nodes that cover it exactly, and of the intervals
+    of a node only the latest, so a node answers with one row however many intervals hold it. A point asks
+    its node of every level. No pairs of points and covering intervals are formed, and a hot key is spread
+    over its nodes. An open interval (null end) reaches to the last time. Points with equal ids are one point.
     """
-    span = intervals.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).crossJoin(points.agg(F.max(at).alias("top"))).select("lo", F.greatest("hi", "top").alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__span.hi") - F.col("__span.lo") + 1) / bins)).cast("long")
-    bin_of = lambda c: F.floor((c - F.col("__span.lo")) / width).cast("long")
-    one = F.broadcast(span.select(F.struct("lo", "hi").alias("__span")))
-    p = points.crossJoin(one).withColumn("__bin", bin_of(F.col(at))).drop("__span")
-    last = F.least(F.coalesce(F.col(end), F.col("__span.hi")), F.col("__span.hi"))
-    i = intervals.crossJoin(one).where(last >= F.col(start)).withColumn("__bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(last)))).drop("__span")
-    i = i.select(F.col(key).alias("__key"), "__bin", F.col(start).alias("__start"), F.col(end).alias("__end"), F.struct(F.col(seq), *[c for c in intervals.columns if c != seq]).alias("__interval"))
-    met = p.join(i, (F.col(key) == F.col("__key")) & (p["__bin"] == i["__bin"]) & (F.col("__start") <= F.col(at)) & (F.col("__end").isNull() | (F.col("__end") >= F.col(at))))
+    keys = [key] if isinstance(key, str) else list(key)
+    span = intervals.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).crossJoin(points.agg(F.max(at).alias("top"))).first()
+    lo = 0 if span["lo"] is None else int(span["lo"])
+    hi = max(lo, *(int(v) for v in (span["hi"], span["top"]) if v is not None), lo)
+    levels = -(-(hi - lo + 1).bit_length() // RADIX_BITS)
+    last = F.least(F.coalesce(F.col(end), F.lit(hi)), F.lit(hi)) - lo
+    held = intervals.where((F.col(start) <= hi) & (last >= F.col(start) - lo))
+    held = held.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(F.col(seq), *[c for c in intervals.columns if c != seq]).alias("__interval"), F.explode(_covering((F.col(start) - lo).cast("long"), last.cast("long"), levels)).alias("__n"))
+    by = [f"__k{i}" for i in range(len(keys))]
+    latest = held.groupBy(*by, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node")).agg(F.max_by("__interval", f"__interval.{seq}").alias("__interval"))
+    asks = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright((F.col(at) - lo).cast("long"), RADIX_BITS * n).alias("node")) for n in range(levels)])
+    p = points.where(F.col(at) >= lo).withColumn("__ask", F.explode(asks))
+    same = (F.col("__ask.level") == F.col("__level")) & (F.col("__ask.node") == F.col("__node"))
+    for k, b in zip(keys, by):
+        same &= F.col(k) == F.col(b)
     # the point's own columns travel through the aggregate, so the points are read once
     rest = [c for c in points.columns if c != point_id]
-    best = met.groupBy(point_id).agg(F.any_value(F.struct(*rest)).alias("__p"), F.max_by("__interval", F.col(f"__interval.{seq}")).alias("interval"))
+    best = p.join(latest, same).groupBy(point_id).agg(F.any_value(F.struct(*rest)).alias("__p"), F.max_by("__interval", f"__interval.{seq}").alias("interval"))
     return best.select(point_id, *[F.col(f"__p.{c}").alias(c) for c in rest], "interval")
 
 
@@ -131,28 +169,35 @@ def first_of(points: DataFrame, candidates: DataFrame, keys: list[str], seq: str
     return points.join(first, keys)
 
 
+def order_of(lines: DataFrame, column: str = "seq") -> Column:
+    """The order of rows of several logs: by log, then by line."""
+    return F.struct(*file_of(lines), column) if file_of(lines) else F.col(column)
+
+
 def log_warnings(lines: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(warning_key, code, message, location, entry): warnings of blocks, attributed to the task active at the block."""
-    found = block_warnings(lines)
-    blocks = found.select("head", "process_id", "ms").distinct()
-    active = as_of(blocks, tasks, "process_id", "ms", "head", "start_ms", "end_ms", "seq").select("head", F.col("interval.entry_point").alias("entry"))
-    hits = found.join(active, "head").groupBy("warning_key", "location", "entry").agg(F.min("seq").alias("seq"), F.min_by(F.struct("code", "message"), "seq").alias("d"))
+    """(warning_key, code, message, location, entry, seq): warnings of blocks, attributed to the task active at the block."""
+    found, part = block_warnings(lines), file_of(lines)
+    blocks = found.select(*part, "head", "process_id", "ms").distinct().withColumn("block", F.struct(*part, "head"))
+    active = as_of(blocks, tasks, [*part, "process_id"], "ms", "block", "start_ms", "end_ms", "seq").select(*part, "head", F.col("interval.entry_point").alias("entry"))
+    met = found.join(active, [*part, "head"]).withColumn("seq", order_of(lines))
+    hits = met.groupBy("warning_key", "location", "entry").agg(F.min("seq").alias("seq"), F.min_by(F.struct("code", "message"), "seq").alias("d"))
     return hits.select("warning_key", "d.code", "d.message", "location", "entry", "seq")
 
 
 def log_errors(lines: DataFrame, tasks: DataFrame) -> DataFrame:
     """(error_key, error_text): two-line failure reports, attributed to the first task of their process (and entry)."""
-    two = with_next(lines.withColumn("line", F.trim("line")), "line", "line_no", "follow", ["path"] if "path" in lines.columns else None)
+    part = file_of(lines)
+    two = with_next(lines.withColumn("line", F.trim("line")), "line", "line_no", "follow", part)
     failed = HEAD + r"\[E\] Failed to compile (?:\w+) shader ([^:]*):(?:[^:]*):([0-9a-fA-F]+):"
     warned = HEAD + r"\[W\] Shader compilation failed:"
     d = C.diagnostic("follow")
     loose = r"^(.*?):(\d+:\d+): (\w+): (.+)$"
     x = lambda p, i, c="line": F.regexp_extract(c, p, i)
-    named = two.where(F.col("line").rlike(failed)).withColumn("d", d).where("d.severity = 'error'").select("line_no", x(failed, 2).alias("process_id"), x(failed, 3).alias("name"), x(failed, 4).alias("hash"), F.concat(F.col("d.code"), F.lit(": "), F.col("d.message"), F.lit(" ("), C.log_path("d.file"), F.lit(":"), F.col("d.place"), F.lit(")")).alias("error_text"))
+    named = two.where(F.col("line").rlike(failed)).withColumn("d", d).where("d.severity = 'error'").select(*part, x(failed, 2).alias("process_id"), x(failed, 3).alias("name"), x(failed, 4).alias("hash"), F.concat(F.col("d.code"), F.lit(": "), F.col("d.message"), F.lit(" ("), C.log_path("d.file"), F.lit(":"), F.col("d.place"), F.lit(")")).alias("error_text"))
     parts = F.split("entry_point", ":")
-    by_entry = tasks.select("process_id", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(2)).alias("hash"), "entry_point", "file_path", "seq")
-    first = first_of(named, by_entry, ["process_id", "name", "hash"], "seq")
-    plain = two.where(F.col("line").rlike(warned) & F.col("follow").rlike(loose)).select("line_no", x(warned, 2).alias("process_id"), F.concat(x(loose, 3, "follow"), F.lit(": "), x(loose, 4, "follow"), F.lit(" ("), C.log_path(x(loose, 1, "follow")), F.lit(":"), x(loose, 2, "follow"), F.lit(")")).alias("error_text"))
-    any_ = first_of(plain, tasks.select("process_id", "entry_point", "file_path", "seq"), ["process_id"], "seq")
-    both = first.select("error_text", "first").unionByName(any_.select("error_text", F.struct(F.col("first.entry_point"), F.col("first.file_path"), F.col("first.seq")).alias("first")))
-    return both.select(F.concat_ws(":", C.log_path("first.file_path"), F.col("first.entry_point")).alias("error_key"), "error_text").distinct()
+    by_entry = tasks.select(*part, "process_id", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(2)).alias("hash"), "entry_point", "file_path", "seq")
+    first = first_of(named, by_entry, [*part, "process_id", "name", "hash"], "seq")
+    plain = two.where(F.col("line").rlike(warned) & F.col("follow").rlike(loose)).select(*part, x(warned, 2).alias("process_id"), F.concat(x(loose, 3, "follow"), F.lit(": "), x(loose, 4, "follow"), F.lit(" ("), C.log_path(x(loose, 1, "follow")), F.lit(":"), x(loose, 2, "follow"), F.lit(")")).alias("error_text"))
+    any_ = first_of(plain, tasks.select(*part, "process_id", "entry_point", "file_path", "seq"), [*part, "process_id"], "seq")
+    both = first.select("error_text", "first.entry_point", "first.file_path").unionByName(any_.select("error_text", "first.entry_point", "first.file_path"))
+    return both.select(F.concat_ws(":", C.log_path("file_path"), F.col("entry_point")).alias("error_key"), "error_text").distinct()

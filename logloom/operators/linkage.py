@@ -1,9 +1,10 @@
 """Record linkage of shader and host layouts by fuzzy field alignment.
 
-Every shader layout is scored against every host layout, as the report asks; each pair is aligned once per
-weight in an Arrow batch, and only scores and alignments leave the task. The host table is the smaller
-side of a source tree; it is sent to all tasks only under a checked size and is joined by a nested loop
-over its partitions otherwise, which Spark chooses.
+Every shader layout is scored against every host layout, as the report asks: its second-best score counts, so
+no pair may be left out. A pair's fields are matched once, in an Arrow batch, and only its scores leave the
+task; the fields side by side are made for the candidates that are shown. The pairs are bounded by the
+layouts of a source tree; Spark sends the smaller side to all tasks if its own size check allows it and
+forms the product of partitions otherwise.
 """
 
 from __future__ import annotations
@@ -74,9 +75,16 @@ def field_differences(rows: list[tuple[dict | None, dict | None]]) -> tuple[int,
     return total, by_name, by_type
 
 
-def align(shader: dict, host: dict, weight: float = 0.5) -> dict:
-    """Alignment report of two layouts (name, fields)."""
-    a, b = list(shader["fields"]), list(host["fields"])
+def _checked(layout) -> list[dict]:
+    """The fields of a layout; a TypeError for anything else."""
+    if not isinstance(layout, dict) or not isinstance(layout.get("name"), str) or not isinstance(layout.get("fields"), (list, tuple)):
+        raise TypeError(f"a layout is a dict with a name and fields, not {type(layout).__name__}")
+    return list(layout["fields"])
+
+
+def align(shader: dict, host: dict, weight: float = 0.5, base_weight: float = 0.5) -> dict:
+    """Alignment report of two layouts (name, fields); `similarity` is the score under base_weight."""
+    a, b = _checked(shader), _checked(host)
     pairs = greedy_pairs(a, b)
     rows = [(None if i is None else a[i], None if j is None else b[j]) for i, j in merge(len(a), len(b), pairs)]
     exact = high = 0
@@ -91,8 +99,9 @@ def align(shader: dict, host: dict, weight: float = 0.5) -> dict:
     ratio = min(size_a, size_b) / max(size_a, size_b) if size_a > 0 and size_b > 0 else 0.0
     kinds = (exact + 0.8 * high) / max(1, len(real))
     total, by_name, by_type = field_differences(rows)
-    score = 0.6 * match_score(shader["name"], host["name"], len(a), len(b), pairs, weight) + 0.2 * kinds + 0.2 * ratio
+    score, similarity = (0.6 * match_score(shader["name"], host["name"], len(a), len(b), pairs, w) + 0.2 * kinds + 0.2 * ratio for w in (weight, base_weight))
     return {
+        "similarity": similarity,
         "score": score,
         "name_sim": name_similarity(host["name"], shader["name"]) * weight,
         "type_sim": kinds,
@@ -112,10 +121,11 @@ def align(shader: dict, host: dict, weight: float = 0.5) -> dict:
 
 
 REPORT = (
-    "score double, name_sim double, type_sim double, size_sim double, exact_matches int, high_sim_matches int, total_fields int, host_total_fields int, missing_fields int, "
-    f"field_matches int, field_diff_count int, field_name_diff_count int, field_type_diff_count int, size_difference int, align_matches array<struct<shader: {schemas.FIELD}, host: {schemas.FIELD}>>"
+    "similarity double, score double, name_sim double, type_sim double, size_sim double, exact_matches int, high_sim_matches int, total_fields int, host_total_fields int, missing_fields int, "
+    "field_matches int, field_diff_count int, field_name_diff_count int, field_type_diff_count int, size_difference int"
 )
-CANDIDATE = f"shader_id long, shader_name string, shader_file string, shader_line int, boosted boolean, host_name string, host_file string, host_line int, flattened boolean, similarity double, {REPORT}"
+CANDIDATE = f"shader_id long, shader_name string, shader_file string, shader_line int, boosted boolean, host_name string, host_file string, host_line int, flattened boolean, {REPORT}"
+ALIGNED = f"{CANDIDATE}, place int, rank int, second_score double, align_matches array<struct<shader: {schemas.FIELD}, host: {schemas.FIELD}>>"
 
 
 def same_fields(host: dict, shader: dict) -> bool:
@@ -123,28 +133,30 @@ def same_fields(host: dict, shader: dict) -> bool:
     return name_similarity(shader["name"], host["name"]) >= NAME_BOUND and type_similarity(shader["type"], host["type"]) == 1 and host["size"] == shader["size"]
 
 
-def flatten(found: DataFrame, depth: int = 16) -> DataFrame:
+def flatten(found: DataFrame) -> DataFrame:
     """layouts with `flat`: fields whose type is a layout of the same language replaced by its fields, all levels.
 
-    A definition in the same file goes before the first of another (by file and line). A cycle ends at
-    `depth` levels, where the field stays.
+    A definition in the same file goes before the first of another (by file and line). A field whose
+    definition is already open on its path stays as it is, so a cycle ends where it closes.
     """
     ids = found.withColumn("id", F.xxhash64("language", "file", "name", "line"))
     ranked = Window.partitionBy("language", "name", "file").orderBy("line")
     first = Window.partitionBy("language", "name").orderBy("file", "line")
     definitions = checkpoint(ids.where(F.size("fields") > 0).withColumn("in_file", F.row_number().over(ranked)).withColumn("overall", F.row_number().over(first)).select("language", "name", "file", "fields", "in_file", "overall"))
-    parts = checkpoint(ids.select("id", "language", "file", F.posexplode("fields").alias("p", "field")).select("id", "language", "file", F.array("p").alias("ord"), "field", F.lit(False).alias("done")))
+    parts = checkpoint(ids.select("id", "language", "name", "file", F.posexplode("fields").alias("p", "field")).select("id", "language", "file", F.array("p").alias("ord"), "field", F.array(F.struct("name", "file")).alias("trail")))
     own = definitions.where("in_file = 1").select(F.col("language").alias("l1"), F.col("name").alias("n1"), F.col("file").alias("f1"), F.col("fields").alias("own_fields"))
     any_ = definitions.where("overall = 1").select(F.col("language").alias("l2"), F.col("name").alias("n2"), F.col("file").alias("f2"), F.col("fields").alias("any_fields"))
-    for _ in range(depth):
+    # a trail names each definition once, so there are no more rounds than definitions
+    while True:
         met = parts.join(own, (F.col("language") == F.col("l1")) & (F.col("field.type") == F.col("n1")) & (F.col("file") == F.col("f1")), "left")
         met = met.join(any_, (F.col("language") == F.col("l2")) & (F.col("field.type") == F.col("n2")), "left")
-        inner = F.coalesce("own_fields", "any_fields")
+        opening = F.struct(F.col("field.type").alias("name"), F.coalesce("f1", "f2").alias("file"))
+        inner = F.when(~F.array_contains("trail", opening), F.coalesce("own_fields", "any_fields"))
         if met.where(inner.isNotNull()).isEmpty():
             break
         stays = met.where(inner.isNull()).select(*parts.columns)
-        opened = met.where(inner.isNotNull()).select("id", "language", F.coalesce("f1", "f2").alias("file"), "ord", F.posexplode(inner).alias("p", "field"), "done")
-        parts = checkpoint(stays.unionByName(opened.select("id", "language", "file", F.concat("ord", F.array("p")).alias("ord"), "field", "done")))
+        opened = met.where(inner.isNotNull()).select("id", "language", opening["file"].alias("file"), "ord", F.posexplode(inner).alias("p", "inner"), F.concat("trail", F.array(opening)).alias("trail"))
+        parts = checkpoint(stays.unionByName(opened.select("id", "language", "file", F.concat("ord", F.array("p")).alias("ord"), F.col("inner").alias("field"), "trail")))
     flat = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "field"))), lambda x: x["field"]).alias("flat"))
     return ids.join(flat, "id", "left").withColumn("flat", F.coalesce("flat", F.array().cast(f"array<{schemas.FIELD}>")))
 
@@ -156,10 +168,10 @@ def is_composite(found: DataFrame) -> DataFrame:
     return found.join(held, "id", "left").withColumn("composite", F.coalesce("composite", F.lit(False)))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Scores of all pairs of a shader layout with fields and a host layout, as written and, if different, flattened.
+def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shader layouts with fields, and host layouts as written and, if different, flattened.
 
-    found has id, flat and composite. A template element takes the fields of its type.
+    A template element takes the fields of its type.
     """
     shaders = found.where("language = 'shader'")
     types = shaders.groupBy(F.col("name").alias("t")).agg(F.min_by("fields", F.struct("file", "line")).alias("type_fields"))
@@ -168,21 +180,42 @@ def candidates(found: DataFrame) -> DataFrame:
     hosts = found.where("language = 'host'")
     versions = F.filter(F.array(F.struct(F.lit(False).alias("flattened"), F.col("fields")), F.when(F.col("flat") != F.col("fields"), F.struct(F.lit(True).alias("flattened"), F.col("flat").alias("fields")))), lambda v: v.isNotNull())
     right = hosts.select(F.col("name").alias("host_name"), F.col("file").alias("host_file"), F.col("line").alias("host_line"), F.explode(versions).alias("v")).select("host_name", "host_file", "host_line", "v.flattened", F.col("v.fields").alias("host_fields"))
+    return left.where(F.size("fields") > 0), right.where(F.size("host_fields") > 0)
+
+
+def _over_pairs(columns: list[str], more: list[str]):
+    """Reports of pairs (fields, host_fields): these columns, then the report's."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for r in part.itertuples(index=False):
-                shader = {"name": r.shader_name, "fields": [dict(f) for f in r.fields]}
-                host = {"name": r.host_name, "fields": [dict(f) for f in r.host_fields]}
-                own = 0.7 if len(shader["fields"]) <= 3 else 0.5
-                report = align(shader, host, own)
-                similarity = report["score"] if own == 0.5 else align(shader, host, 0.5)["score"]
-                rows.append({"shader_id": r.shader_id, "shader_name": r.shader_name, "shader_file": r.shader_file, "shader_line": r.shader_line, "boosted": r.boosted, "host_name": r.host_name, "host_file": r.host_file, "host_line": r.host_line, "flattened": r.flattened, "similarity": similarity, **report})
-            yield pd.DataFrame(rows, columns=names)
+            for r in part.to_dict("records"):
+                shader = {"name": r["shader_name"], "fields": [dict(f) for f in r["fields"]]}
+                host = {"name": r["host_name"], "fields": [dict(f) for f in r["host_fields"]]}
+                report = align(shader, host, 0.7 if len(shader["fields"]) <= 3 else 0.5)
+                rows.append([r[c] for c in columns] + [report[c] for c in more])
+            yield pd.DataFrame(rows, columns=columns + more)
+
+    return run
+
 
-    names = [c.split()[0] for c in CANDIDATE.split(f", {REPORT}")[0].split(", ")] + ["score", "name_sim", "type_sim", "size_sim", "exact_matches", "high_sim_matches", "total_fields", "host_total_fields", "missing_fields", "field_matches", "field_diff_count", "field_name_diff_count", "field_type_diff_count", "size_difference", "align_matches"]
-    return left.where(F.size("fields") > 0).crossJoin(right.where(F.size("host_fields") > 0)).mapInPandas(run, CANDIDATE)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Scores of all pairs of a shader layout and a version of a host layout; found has id, flat and composite."""
+    left, right = _sides(found)
+    report = _names(REPORT)
+    return left.crossJoin(right).mapInPandas(_over_pairs([c for c in _names(CANDIDATE) if c not in report], report), CANDIDATE)
+
+
+def with_fields(ranked: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranked candidates with their fields side by side."""
+    left, right = _sides(found)
+    met = ranked.join(left.select("shader_id", "fields"), "shader_id").join(right.where("host_name is not null"), ["host_name", "host_file", "host_line", "flattened"])
+    columns = [*_names(CANDIDATE), "place", "rank", "second_score"]
+    return met.select(*columns, "fields", "host_fields").mapInPandas(_over_pairs(columns, ["align_matches"]), ALIGNED)
 
 
 def best_candidates(scored: DataFrame) -> DataFrame:
@@ -227,7 +260,7 @@ def link(layouts: DataFrame) -> DataFrame:
     from logloom.functions.similarity import name_similarity_udf
 
     found = checkpoint(is_composite(flatten(layouts)))
-    best = best_candidates(candidates(found)).where("rank = 1")
+    best = with_fields(best_candidates(candidates(found)).where("rank = 1"), found)
     judged = best.withColumn("accepted", good_enough(name_similarity_udf()("shader_name", "host_name"))).withColumn("status", status())
     # parts of composites and composites themselves are recorded only where they match
     rest = found.where("language = 'shader' and size(flat) > 0 and not composite").select(F.col("id").alias("shader_id"), F.col("name").alias("shader_name"), F.col("file").alias("shader_file"), F.col("line").alias("shader_line"))
@@ -236,8 +269,9 @@ def link(layouts: DataFrame) -> DataFrame:
 
 
 def top_candidates(layouts: DataFrame, n: int = 5) -> DataFrame:
-    """The n best candidates of each shader layout, by boosted score."""
-    return best_candidates(candidates(checkpoint(is_composite(flatten(layouts))))).where(F.col("rank") <= n)
+    """The n best candidates of each shader layout, by boosted score, with their fields side by side."""
+    found = checkpoint(is_composite(flatten(layouts)))
+    return with_fields(best_candidates(candidates(found)).where(F.col("rank") <= n), found)
 
 
 def composite_parts(layouts: DataFrame) -> DataFrame:

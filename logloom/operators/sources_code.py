@@ -17,35 +17,110 @@ from logloom import schemas
 from logloom.functions import columns as C
 
 DIRECTIVE = re.compile(r"^\s*#\s*(ifdef|ifndef|if|elif|else|endif|define|undef)\b\s*(.*?)\s*(?://.*)?$")
-_TOKEN = re.compile(r"\s*(defined\s*\(\s*\w+\s*\)|defined\s+\w+|\w+|&&|\|\||[<>=!]=|[!<>()+\-*/%])")
+LINE = re.compile(r'^#line (\d+) ".*"', re.M)
+_LEXEME = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<word>\w+|&&|\|\||[<>=!]=|<<|>>|\S)", re.S)
+#: Binary operators of conditions by how tightly they bind.
+_BINDING = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
+_NUMBER = re.compile(r"(0[xX][0-9a-fA-F]+|\d+)[uUlL]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Words and signs of source text without comments."""
+    return [m["word"] for m in _LEXEME.finditer(text) if m["word"]]
+
+
+def _operate(sign: str, a: int | None, b: int | None) -> int | None:
+    """A binary operator on 64-bit numbers; None is nonsense, which only a decided && or || forgives."""
+    if sign == "&&":
+        return 0 if a == 0 or b == 0 else None if a is None or b is None else 1
+    if sign == "||":
+        return 1 if a or b else None if a is None or b is None else 0
+    if a is None or b is None or sign in ("/", "%") and b == 0 or sign in ("<<", ">>") and not 0 <= b < 64:
+        return None
+    if sign in ("/", "%"):
+        whole = abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+        value = whole if sign == "/" else a - b * whole
+    else:
+        value = {"|": a | b, "^": a ^ b, "&": a & b, "==": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b, "+": a + b, "-": a - b, "*": a * b, "<<": a << b if sign == "<<" else 0, ">>": a >> b if sign == ">>" else 0}[sign]
+    return (int(value) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _expanded(words: list[str], defines: dict[str, str], most: int = 1_000_000) -> list[str] | None:
+    """The words of a condition with defined() decided and names replaced; None where that does not end in `most` steps."""
+    out: list[str] = []
+    todo = [(w, frozenset()) for w in reversed(words)]
+    steps = 0
+    while todo:
+        word, hidden = todo.pop()
+        steps += 1
+        if steps > most:
+            return None
+        if word == "defined":
+            name = todo.pop()[0] if todo else ""
+            if name == "(":
+                name = todo.pop()[0] if todo else ""
+                if not todo or todo.pop()[0] != ")":
+                    return None
+            out.append(str(int(name in defines)))
+        elif word[0].isalpha() or word[0] == "_":
+            value = defines.get(word) if word not in hidden else None
+            if value is None:
+                out.append("0")
+            elif not (inner := words_of(value)):
+                out.append("1")
+            else:
+                todo += [(w, hidden | {word}) for w in reversed(["(", *inner, ")"])]
+        else:
+            out.append(word)
+    return out
 
 
 def holds(expression: str, defines: dict[str, str]) -> bool:
-    """Value of a condition: integers, defined(), comparison, arithmetic, logic. Unknown names are 0; nonsense is false."""
-    words, at = [], 0
-    while at < len(expression.rstrip()):
-        m = _TOKEN.match(expression, at)
-        if not m:
-            return False
-        words.append(m[1])
-        at = m.end()
-    out = []
+    """Value of a condition: 64-bit integers, defined(), comparison, arithmetic, bits, logic. Unknown names are 0; nonsense is false."""
+    words = _expanded(words_of(expression), defines)
+    if words is None:
+        return False
+    values: list[int | None] = []
+    signs: list[str] = []
+
+    def reduce_to(least: int) -> bool:
+        """Applies the waiting operators that bind at least so tightly; False where an operand is missing."""
+        while signs and signs[-1] != "(" and (signs[-1][0] == "u" or _BINDING[signs[-1]] >= least):
+            sign = signs.pop()
+            if len(values) < (1 if sign[0] == "u" else 2):
+                return False
+            b = values.pop()
+            if sign[0] == "u":
+                values.append(None if b is None else {"u!": int(not b), "u-": -b, "u+": b, "u~": ~b}[sign])
+            else:
+                values.append(_operate(sign, values.pop(), b))
+        return True
+
+    operand = True
     for w in words:
-        if w.startswith("defined"):
-            out.append(str(int(re.sub(r"defined[\s(]*|\W+$", "", w) in defines)))
-        elif re.match(r"\d", w):
-            number = re.match(r"0[xX][0-9a-fA-F]+|\d+", w)
-            out.append(str(int(number[0], 0) if number[0][:2].lower() == "0x" else int(number[0])))
-        elif w[0].isalpha() or w[0] == "_":
-            value = defines.get(w, "0").strip()
-            out.append(value if re.fullmatch(r"-?\d+", value) else str(int(w in defines and value == "")))
+        if operand:
+            if w in "!-+~":
+                signs.append("u" + w)
+            elif w == "(":
+                signs.append(w)
+            elif m := _NUMBER.fullmatch(w):
+                number = int(m[1], 16 if m[1][:2] in ("0x", "0X") else 10) if len(m[1]) <= 20 else 1 << 64
+                values.append(number if number < 1 << 63 else None)
+                operand = False
+            else:
+                return False
+        elif w == ")":
+            if not reduce_to(0) or not signs:
+                return False
+            signs.pop()
+        elif w in _BINDING:
+            if not reduce_to(_BINDING[w]):
+                return False
+            signs.append(w)
+            operand = True
         else:
-            out.append({"&&": " and ", "||": " or ", "!": " not ", "/": "//"}.get(w, w))
-    try:
-        # digits and operators alone, so nothing but arithmetic can be evaluated
-        return bool(eval("".join(out), {"__builtins__": {}}))  # noqa: S307
-    except (SyntaxError, ZeroDivisionError, TypeError, ValueError):
-        return False
+            return False
+    return not operand and reduce_to(0) and not signs and len(values) == 1 and bool(values[0])
 
 
 def active_lines(text: str, defines: list[str] | dict[str, str]) -> list[tuple[int, str]]:
@@ -80,12 +155,17 @@ def active_lines(text: str, defines: list[str] | dict[str, str]) -> list[tuple[i
 
 
 def matches_with_lines(pattern: re.Pattern[str], text: str) -> Iterator[tuple[int, re.Match[str]]]:
-    """All matches with the line, from 1, where each starts."""
-    line = at = 0
+    """All matches with the line, from 1, where each starts; a #line directive renumbers the lines after it."""
+    turns = [(m.start(), int(m[1])) for m in LINE.finditer(text)]
+    line, at, shift = 1, 0, 0
     for m in pattern.finditer(text):
+        while turns and turns[0][0] <= m.start():
+            start, number = turns.pop(0)
+            line += text.count("\n", at, start)
+            at, shift = start, number - line - 1
         line += text.count("\n", at, m.start())
         at = m.start()
-        yield line + 1, m
+        yield line + shift, m
 
 
 def line_matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
@@ -97,13 +177,85 @@ def line_matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     return rows.select("path", F.col("line_no").alias("line"), F.regexp_extract("line", anchored, group).alias("found"))
 
 
-KIND = r"cbuffer|ConstantBuffer<(?P<constant>\w+)>|(?:(?:RW)?(?:StructuredBuffer|Buffer|Texture1D|Texture2D|Texture3D|TextureCube)|SamplerState|SamplerComparisonState)(?:<(?P<element>\w+)>)?"
-BINDING = re.compile(rf"(?P<kind>{KIND})\s+(?P<name>\w+)\s*:\s*register\s*\((?P<class>[a-z])(?P<number>\d+)\)\s*(?:;|$)")
-LAYOUT = re.compile(r"(?P<kind>struct|cbuffer|ConstantBuffer<\w+>)\s+(?P<name>\w+)\s*(?::\s*register\s*\(\w\d+\s*\))?\s*\{(?P<body>[^{}]*)\}")
-HOST_LAYOUT = re.compile(r"struct\s+(?:alignas\(\d+\)\s+)?(?P<name>\w+)\s*\{(?P<body>[^{}]*)\}")
-ELEMENT = re.compile(r"(?:RW)?StructuredBuffer<(?P<element>\w+)>\s+(?P<name>\w+)\s*:\s*register\s*\([a-z]\d+\s*\)")
-MEMBER = re.compile(r"(?:(?:row|column)_major\s+)?(?P<type>[\w:]+(?:<\w+>)?\w*)\s+(?P<name>\w+)(?:\s*:\s*packoffset\((?P<pack>[^)]+)\))?(?:\s*\[(?P<dims>\d+(?:\]\s*\[\d+)?)\])?")
-HOST_MEMBER = re.compile(r"(?P<type>[\w:]+(?:<\w+>)?\s*\*?)\s+(?P<name>\w+)(?:\s*\[(?P<dims>\d+(?:\]\s*\[\d+)?)\])?")
+#: The resource types whose bindings are reported; all but samplers also with RW before.
+SAMPLERS = ("SamplerState", "SamplerComparisonState")
+RESOURCES = ("Buffer", "StructuredBuffer", "Texture1D", "Texture2D", "Texture3D", "TextureCube")
+BOUND = {*SAMPLERS, *RESOURCES, *(f"RW{r}" for r in RESOURCES)}
+#: The letters of register classes that count.
+REGISTER_LETTERS = "butsg"
+
+
+class Reader:
+    """Words of source text with their lines, read from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.words: list[str] = []
+        self.lines: list[int] = []
+        line, at = 1, 0
+        for m in _LEXEME.finditer(text):
+            if m["word"]:
+                line += text.count("\n", at, m.start())
+                at = m.start()
+                self.words.append(m["word"])
+                self.lines.append(line)
+        self.at = 0
+
+    def peek(self, ahead: int = 0) -> str:
+        return self.words[self.at + ahead] if self.at + ahead < len(self.words) else ""
+
+    def take(self, *wanted: str) -> bool:
+        """Moves over these words if they come next."""
+        if tuple(self.words[self.at : self.at + len(wanted)]) != wanted:
+            return False
+        self.at += len(wanted)
+        return True
+
+    def name(self) -> str | None:
+        word = self.peek()
+        if not (word[:1].isalnum() or word[:1] == "_"):
+            return None
+        self.at += 1
+        return word
+
+    def argument(self) -> str | None:
+        """The name in <name>."""
+        if self.peek() == "<" and self.peek(2) == ">":
+            self.at += 1
+            found = self.name()
+            if found and self.take(">"):
+                return found
+        return None
+
+    def register(self) -> tuple[str, int] | None:
+        """Class and number of `: register(x0)`."""
+        start = self.at
+        if self.take(":", "register", "("):
+            word = self.name() or ""
+            if word[:1].isalpha() and word[:1].islower() and word[1:].isdecimal() and self.take(")"):
+                return word[0], int(word[1:])
+        self.at = start
+        return None
+
+    def body(self) -> list[list[str]]:
+        """The members, as words between semicolons, of the braces that come next; what holds braces itself is no member."""
+        members: list[list[str]] = [[]]
+        depth = 0
+        while self.at < len(self.words):
+            word = self.words[self.at]
+            self.at += 1
+            if word == "{":
+                depth += 1
+                members[-1] = []
+            elif word == "}":
+                depth -= 1
+                members[-1] = members[-1] if depth <= 0 else []
+                if depth <= 0:
+                    break
+            elif depth == 1 and word == ";":
+                members.append([])
+            elif depth == 1:
+                members[-1].append(word)
+        return members
 
 
 def field_size(type_: str, count: int, corrected: bool = False) -> tuple[int, bool]:
@@ -120,37 +272,89 @@ def field_size(type_: str, count: int, corrected: bool = False) -> tuple[int, bo
     return sizes.get(name, schemas.DEFAULT_SIZE) * count, bool(shape) or name not in sizes
 
 
-def parse_member(text: str, host: bool) -> dict | None:
-    m = (HOST_MEMBER if host else MEMBER).match(text.strip())
-    if not m:
+def parse_member(text: str | list[str], host: bool) -> dict | None:
+    """A member's type, name and dimensions; what follows them is not judged. None where it has no type and name."""
+    r = Reader("")
+    r.words = words_of(text) if isinstance(text, str) else text
+    if not host and r.peek() in ("row_major", "column_major"):
+        r.at += 1
+    parts = []
+    while (word := r.peek()) == ":" and r.peek(1) == ":" or r.name():
+        if word == ":":
+            r.at += 2
+            word = "::"
+        parts.append(word)
+        if r.peek() != ":" and word != "::" or r.peek(1) != ":":
+            break
+    if not parts or parts[-1] == "::":
+        return None
+    kind = "".join(parts)
+    if argument := r.argument():
+        kind += f"<{argument}>"
+    if host and r.take("*"):
+        kind += "*"
+    name = r.name()
+    if not name:
         return None
+    pack = None
+    if not host and r.take(":", "packoffset", "("):
+        inside = r.words[r.at : r.words.index(")", r.at)] if ")" in r.words[r.at :] else []
+        pack, r.at = "".join(inside) or None, r.at + len(inside) + 1
     count = 1
-    for d in re.findall(r"\d+", m["dims"] or ""):
-        count *= int(d)
-    size, unknown = field_size(m["type"], count)
-    return {"name": f"{m['name']}[{count}]" if count > 1 else m["name"], "type": m["type"], "size": size, "array_size": count, "is_unknown_type": unknown, "packoffset": None if host else m["pack"]}
-
-
-def _bare_body(body: str) -> str:
-    return re.sub(r"//[^\n]*", "", re.sub(r"/\*.*?\*/", "", body, flags=re.S))
+    while r.peek() == "[" and r.peek(1).isdecimal() and r.peek(2) == "]":
+        count *= int(r.peek(1))
+        r.at += 3
+    size, unknown = field_size(kind, count)
+    return {"name": f"{name}[{count}]" if count > 1 else name, "type": kind, "size": size, "array_size": count, "is_unknown_type": unknown, "packoffset": pack}
 
 
 def aligned(fields: list[dict]) -> int:
     return sum(-(-f["size"] // 16) * 16 for f in fields)
 
 
+def _layouts_in(text: str, host: bool) -> Iterator[tuple[str, int, str, list[dict]]]:
+    """(kind, line, name, fields) of every record, inner ones too."""
+    r = Reader(text)
+    while r.at < len(r.words):
+        word, line = r.peek(), r.lines[r.at]
+        r.at += 1
+        if word == "ConstantBuffer" and not host:
+            if not r.argument():
+                continue
+        elif word != "struct" and (host or word != "cbuffer"):
+            continue
+        if host and r.take("alignas", "("):
+            r.at += 1
+            if not r.take(")"):
+                continue
+        name = r.name()
+        if not name:
+            continue
+        if not host:
+            r.register()
+        if r.peek() != "{":
+            continue
+        inner = r.at + 1
+        members = [m for m in r.body() if m and not (host and m[0] == "static")]
+        r.at = inner
+        yield word, line, name, [f for m in members if (f := parse_member(m, host))]
+
+
 def shader_layouts(text: str) -> list[dict]:
     """Layouts by name (the last of a name stays), then element types of structured buffers not defined in the file."""
     found: dict[str, dict] = {}
-    for line, m in matches_with_lines(LAYOUT, text):
-        if m["name"].lower() in schemas.TYPE_SIZES:
+    for kind, line, name, fields in _layouts_in(text, False):
+        if name.lower() in schemas.TYPE_SIZES:
             continue
-        fields = [f for part in _bare_body(m["body"]).split(";") if (f := parse_member(part, False))]
-        cbuffer, constant = m["kind"] == "cbuffer", m["kind"].startswith("ConstantBuffer")
+        cbuffer, constant = kind == "cbuffer", kind == "ConstantBuffer"
         size = aligned(fields) if cbuffer or constant else sum(f["size"] for f in fields)
-        found[m["name"]] = {"name": m["name"], "fields": fields, "line": line, "is_cbuffer": cbuffer, "is_constant_buffer": constant, "is_template": False, "template_type": None, "size": size}
-    for line, m in matches_with_lines(ELEMENT, text):
-        element, name = m["element"], m["name"]
+        found[name] = {"name": name, "fields": fields, "line": line, "is_cbuffer": cbuffer, "is_constant_buffer": constant, "is_template": False, "template_type": None, "size": size}
+    r = Reader(text)
+    while r.at < len(r.words):
+        word, line = r.peek(), r.lines[r.at]
+        r.at += 1
+        if word not in ("StructuredBuffer", "RWStructuredBuffer") or not (element := r.argument()) or not (name := r.name()) or not r.register():
+            continue
         known = found.get(element)
         if element in schemas.TYPE_SIZES or known and known["fields"] and not known["is_template"]:
             continue
@@ -163,12 +367,10 @@ def shader_layouts(text: str) -> list[dict]:
 def host_layouts(text: str) -> list[dict]:
     """Layouts without static members; none for a struct without members or with a pointer."""
     found: dict[str, dict] = {}
-    for line, m in matches_with_lines(HOST_LAYOUT, text):
-        members = [p.strip() for p in _bare_body(m["body"]).split(";")]
-        fields = [f for p in members if not p.startswith("static ") and (f := parse_member(p, True))]
-        if m["name"].lower() in schemas.TYPE_SIZES or not fields or any("*" in f["type"] for f in fields):
+    for _, line, name, fields in _layouts_in(text, True):
+        if name.lower() in schemas.TYPE_SIZES or not fields or any("*" in f["type"] for f in fields):
             continue
-        found[m["name"]] = {"name": m["name"], "fields": fields, "line": line, "is_cbuffer": False, "is_constant_buffer": False, "is_template": False, "template_type": None, "size": sum(f["size"] for f in fields)}
+        found[name] = {"name": name, "fields": fields, "line": line, "is_cbuffer": False, "is_constant_buffer": False, "is_template": False, "template_type": None, "size": sum(f["size"] for f in fields)}
     return list(found.values())
 
 
@@ -196,6 +398,23 @@ def layouts(files: DataFrame) -> DataFrame:
 BINDINGS = "path string, combo string, defines array<string>, line int, name string, type string, template_type string, register_class string, number int"
 
 
+def bindings_in(line: str) -> list[tuple[str, str, str | None, str, int]]:
+    """(name, type, template type, register class, number) of the declarations that a line closes."""
+    r, found = Reader(line), []
+    while r.at < len(r.words):
+        word, start = r.peek(), r.at + 1
+        r.at = start
+        element = r.argument() if word == "ConstantBuffer" or word in BOUND else None
+        if word == "cbuffer" or word in BOUND or element:
+            name = r.name()
+            place = r.register() if name else None
+            if place and place[0] in REGISTER_LETTERS and r.peek() in (";", ""):
+                found.append((name, word + (f"<{element}>" if element else ""), element, *place))
+                continue
+        r.at = start
+    return found
+
+
 def bindings(files: DataFrame) -> DataFrame:
     """Resource bindings of (path, content, combo, defines): one row per declaration that is active under the combination."""
 
@@ -204,9 +423,9 @@ def bindings(files: DataFrame) -> DataFrame:
             rows = []
             for path, text, combo, defines in zip(part["path"], part["content"], part["combo"], part["defines"]):
                 for number, line in active_lines(text or "", list(defines)):
-                    for m in BINDING.finditer(line):
-                        if m["name"].lower() not in schemas.TYPE_SIZES and not re.search("_(IN|OUT)PUT$", m["name"].upper()):
-                            rows.append((path, combo, list(defines), number, m["name"], m["kind"], m["constant"] or m["element"], m["class"], int(m["number"])))
+                    for name, kind, element, letter, place in bindings_in(line):
+                        if name.lower() not in schemas.TYPE_SIZES and not name.upper().endswith(("_INPUT", "_OUTPUT")):
+                            rows.append((path, combo, list(defines), number, name, kind, element, letter, place))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in BINDINGS.split(", ")])
 
     return files.select("path", "content", "combo", "defines").mapInPandas(run, BINDINGS)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import columns as C
+from logloom.operators.lifecycle import order_of
+from logloom.session import checkpoint
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -13,30 +15,38 @@ def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.min(order).alias("first_seen"))
 
 
-def variants(tasks: DataFrame) -> DataFrame:
-    """(file, shader_type, entry, defines sorted with duplicates, first_seen); unknown stages keep the type UNKNOWN."""
-    rows = tasks.select(C.log_path("file_path").alias("file"), C.shader_type("entry_point").alias("shader_type"), F.col("entry_point").alias("entry"), F.array_sort("defines").alias("defines"), "seq")
-    return last_wins(rows, ["file", "shader_type", "entry"], "defines", "seq")
+def last_change(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """last_wins of a list that is replaced only by a list of another set: the first list of the last run of equal sets."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    as_set = F.array_sort(F.array_distinct(value))
+    marked = rows.withColumn("__changed", ~F.lag(as_set).over(by).eqNullSafe(as_set) | (F.row_number().over(by) == 1))
+    return marked.groupBy(*keys).agg(F.max_by(value, F.when(F.col("__changed"), F.col(order))).alias(value), F.min(order).alias("first_seen"))
+
 
+def variants(tasks: DataFrame) -> DataFrame:
+    """(file, shader_type, entry, defines sorted with duplicates, first_seen); unknown stages keep the type UNKNOWN.
 
-def shared_values(rows: DataFrame, level: list[str], member: list[str], value: str) -> DataFrame:
-    """Values that every member of a level has (relational division); rows are (level.., member.., value)."""
-    ids = F.struct(*level, *member)
-    if level:
-        sizes = rows.groupBy(*level).agg(F.count_distinct(ids).alias("members"))
-        having = rows.where(F.col(value).isNotNull()).groupBy(*level, value).agg(F.count_distinct(ids).alias("n")).join(sizes, level)
-    else:
-        sizes = rows.agg(F.count_distinct(ids).alias("members"))
-        # one row: the count of members
-        having = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_distinct(ids).alias("n")).crossJoin(F.broadcast(sizes))
-    return having.where("n = members").select(*level, value)
+    Of several logs the order is by log, then by line.
+    """
+    rows = tasks.select(C.log_path("file_path").alias("file"), C.shader_type("entry_point").alias("shader_type"), F.col("entry_point").alias("entry"), F.array_sort("defines").alias("defines"), order_of(tasks).alias("seq"))
+    return last_change(rows, ["file", "shader_type", "entry"], "defines", "seq")
 
 
 def common_values(rows: DataFrame, kind: str, group: str, member: list[str], value: str) -> DataFrame:
-    """(level, group, kind, value): shared by all, then by a kind, then by (group, kind), each less the levels above."""
-    everywhere = shared_values(rows, [], [group, kind, *member], value)
-    by_kind = shared_values(rows, [kind], [group, *member], value).join(everywhere, value, "left_anti")
-    by_group = shared_values(rows, [group, kind], member, value).join(everywhere, value, "left_anti").join(by_kind, [kind, value], "left_anti")
+    """(level, group, kind, value): shared by all, then by a kind, then by (group, kind), each less the levels above.
+
+    Relational division by counts: members and members with a value are counted once by (group, kind) and
+    summed for the levels above, which is exact because a member lies in one (group, kind).
+    """
+    ids = F.struct(*member)
+    sizes = checkpoint(rows.groupBy(group, kind).agg(F.count_distinct(ids).alias("members")))
+    having = checkpoint(rows.where(F.col(value).isNotNull()).groupBy(group, kind, value).agg(F.count_distinct(ids).alias("n")))
+    total = sizes.agg(F.sum("members").alias("members"))
+    # one row: the count of members
+    everywhere = having.groupBy(value).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).where("n = members").select(value)
+    of_kind = sizes.groupBy(kind).agg(F.sum("members").alias("members"))
+    by_kind = having.groupBy(kind, value).agg(F.sum("n").alias("n")).join(of_kind, kind).where("n = members").select(kind, value).join(everywhere, value, "left_anti")
+    by_group = having.join(sizes, [group, kind]).where("n = members").select(group, kind, value).join(everywhere, value, "left_anti").join(by_kind, [kind, value], "left_anti")
     none = F.lit(None).cast("string")
     return (
         everywhere.select(F.lit("all").alias("level"), none.alias(group), none.alias(kind), value)

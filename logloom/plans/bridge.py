@@ -50,11 +50,12 @@ def b01_ordered_lines(spark, d):
     return R.lines_of(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
-@query("""
-SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS raw FROM pages
+@query(r"""
+SELECT page_id::VARCHAR AS src, unnest(regexp_extract_all(replace(html, '<a href=', chr(10) || ' # include '), '(?m)^[ \t]*#[ \t]*include[ \t]*"([^"]+)"', 1)) AS raw FROM pages
 """)
-def b02_extract_all(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("raw"))
+def b02_include_names(spark, d):
+    text = F.replace("html", F.lit("<a href="), F.lit("\n # include "))
+    return G.include_names(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), text.alias("content")))
 
 
 @query(r"""
@@ -140,14 +141,13 @@ def b08_as_of(spark, d):
     return event_blocks(spark, d).select("event_id", "user_id", "ms", "seq")
 
 
-@query(f"""WITH {EVENTS_SQL}, {PAIR_SQL}, {ASOF_SQL}
-SELECT 'x' || (floor(value / 50))::BIGINT AS warning_key, floor(ms / 3600000)::BIGINT AS location,
-       array_to_string(list_sort(list(DISTINCT user_id)), ',') AS entries, count(DISTINCT user_id) AS n_entries
-FROM q GROUP BY 1, 2""")
+@query(f"""WITH {EVENTS_SQL}, {PAIR_SQL}, {ASOF_SQL},
+h AS (SELECT 'x' || (floor(value / 50))::BIGINT AS warning_key, floor(ms / 3600000)::BIGINT::VARCHAR AS location, user_id, min(event_id) AS s FROM q GROUP BY 1, 2, 3)
+SELECT warning_key, location, array_to_string(list(user_id ORDER BY s), ',') AS entries, count(*) AS n_entries, min(s) AS seq FROM h GROUP BY 1, 2""")
 def b09_warning_rollup(spark, d):
-    hits = event_blocks(spark, d).select(F.concat(F.lit("x"), big(F.floor(F.col("value") / 50)).cast("string")).alias("warning_key"), big(F.floor(F.col("ms") / 3600000)).alias("location"), "user_id")
-    entries = F.array_sort(F.collect_set("user_id"))
-    return hits.groupBy("warning_key", "location").agg(F.array_join(entries.cast("array<string>"), ",").alias("entries"), big(F.size(entries)).alias("n_entries"))
+    key, place = F.concat(F.lit("x"), big(F.floor(F.col("value") / 50)).cast("string")), big(F.floor(F.col("ms") / 3600000)).cast("string")
+    hits = event_blocks(spark, d).select(key.alias("warning_key"), place.alias("location"), F.col("user_id").cast("string").alias("entry"), F.lit("X").alias("code"), F.lit("m").alias("message"), F.col("event_id").alias("seq"))
+    return D.by_place(hits).select("warning_key", "location", F.array_join("entries", ",").alias("entries"), big(F.size("entries")).alias("n_entries"), "seq")
 
 
 @query(f"""WITH {EVENTS_SQL}, {PAIR_SQL}, f AS (SELECT user_id, min(seq) AS seq FROM t GROUP BY 1)
@@ -249,16 +249,16 @@ def b17_file_summary(spark, d):
 
 
 @query("""
-WITH c AS (SELECT count(*) FILTER (event_type = 'view') AS baseline_count, count(*) FILTER (event_type = 'click') AS new_count, count(*) FILTER (value > 1e9) AS errors FROM events),
-l AS (SELECT unnest([-100000, -10, 0, 5, 100000]) AS lim)
-SELECT lim::BIGINT AS lim, CASE WHEN errors > 0 THEN 1 WHEN lim < 0 THEN (baseline_count + new_count > greatest(0, baseline_count - abs(lim)))::INT ELSE (new_count > lim)::INT END::BIGINT AS exit_code
-FROM c, l
+WITH c AS (SELECT count(*) FILTER (event_type = 'view') AS baseline_count, count(*) FILTER (event_type = 'click') AS new_count, count(*) FILTER (event_type = 'error') AS n FROM events),
+l AS (SELECT unnest([-100000, -10, 0, 5, 100000]) AS lim), e AS (SELECT unnest([0, n]) AS errors, baseline_count, new_count FROM c)
+SELECT lim::BIGINT AS lim, errors, CASE WHEN errors > 0 THEN 1 WHEN lim < 0 THEN (baseline_count + new_count > greatest(0, baseline_count - abs(lim)))::INT ELSE (new_count > lim)::INT END::BIGINT AS exit_code
+FROM e, l
 """)
 def b18_gate(spark, d):
     is_ = lambda t: F.count_if(F.col("event_type") == t)
-    counts = table(spark, d, "events").agg(is_("view").alias("baseline_count"), is_("click").alias("new_count"), F.count_if(F.col("value") > 1e9).alias("errors"))
-    limits = counts.select("*", F.explode(F.array(*[F.lit(x) for x in (-100000, -10, 0, 5, 100000)])).alias("lim"))
-    return D.gate(limits, F.col("lim")).select(big("lim").alias("lim"), big("exit_code").alias("exit_code"))
+    counts = table(spark, d, "events").agg(is_("view").alias("baseline_count"), is_("click").alias("new_count"), is_("error").alias("n"))
+    limits = counts.select("*", F.explode(F.array(F.lit(0).cast("long"), F.col("n"))).alias("errors")).select("*", F.explode(F.array(*[F.lit(x) for x in (-100000, -10, 0, 5, 100000)])).alias("lim"))
+    return D.gate(limits, F.col("lim")).select(big("lim").alias("lim"), "errors", big("exit_code").alias("exit_code"))
 
 
 @query("""
@@ -270,11 +270,14 @@ def b19_top_share(spark, d):
 
 
 @query("""
-SELECT DISTINCT user_id::VARCHAR || ':' || event_type AS shader_key, floor(value)::BIGINT AS location FROM events WHERE event_type = 'error'
+WITH p AS (SELECT event_type || '.hlsl:' || user_id AS shader_key, floor(value)::BIGINT::VARCHAR AS location, 'X' || event_id % 2 AS code, user_id || 'P' || event_id % 5 AS shader_type, event_id FROM events WHERE event_type IN ('error', 'click'))
+SELECT shader_key, location, code, arg_min(shader_type, event_id) AS shader_type FROM p GROUP BY ALL
 """)
 def b20_error_rollup(spark, d):
-    rows = table(spark, d, "events").where("event_type = 'error'")
-    return rows.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("shader_key"), big(F.floor("value")).alias("location")).distinct()
+    rows = table(spark, d, "events").where("event_type in ('error', 'click')")
+    user = F.col("user_id").cast("string")
+    shown = rows.select(F.concat(F.lit("src/Shaders/"), "event_type", F.lit(".hlsl")).alias("file"), user.alias("entry"), F.concat(user, F.lit("P"), (F.col("event_id") % 5).cast("string")).alias("shader_type"), F.lit("error").alias("severity"), big(F.floor("value")).cast("string").alias("location"), F.concat(F.lit("X"), (F.col("event_id") % 2).cast("string")).alias("code"), F.lit("m").alias("message"), F.col("event_id").alias("seq"))
+    return D.errors(shown).select("shader_key", "location", "code", "shader_type")
 
 
 @query("""
@@ -337,11 +340,16 @@ def b25_combos(spark, d):
 
 
 @query("""
-SELECT l_partkey, bool_or(l_returnflag = 'A') AS pshader, bool_or(l_returnflag = 'R') AS vshader, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ',') AS combos FROM lineitem GROUP BY 1
+SELECT 'features/F' || l_partkey % 7 || '/x.hlsl' AS path, l_partkey AS line, ['t', 'u', 's', 'b'][l_partkey % 4 + 1] || l_partkey % 16 AS register, 'F' || l_partkey % 7 AS feature,
+  ['SRV', 'UAV', 'Sampler', 'CBV'][l_partkey % 4 + 1] AS register_type, 'n' || l_partkey AS name, bool_or(l_returnflag = 'A') AS pshader, bool_or(l_returnflag = 'R') AS vshader, bool_or(l_returnflag = 'N') AS vr,
+  array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ',') AS combos FROM lineitem GROUP BY l_partkey
 """)
-def b26_merge_flags(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_partkey")
-    return rows.agg(F.bool_or(F.col("l_returnflag") == "A").alias("pshader"), F.bool_or(F.col("l_returnflag") == "R").alias("vshader"), F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("combos"))
+def b26_registers(spark, d):
+    key = F.col("l_partkey")
+    text = lambda c: c.cast("string")
+    define = F.when(F.col("l_returnflag") == "A", "PSHADER").when(F.col("l_returnflag") == "R", "VSHADER").otherwise("VR")
+    found = table(spark, d, "lineitem").select(F.concat(F.lit("features/F"), text(key % 7), F.lit("/x.hlsl")).alias("path"), key.alias("line"), F.concat("l_returnflag", "l_linestatus").alias("combo"), F.array(define).alias("defines"), F.concat(F.lit("n"), text(key)).alias("name"), F.lit("T").alias("type"), F.lit(None).cast("string").alias("template_type"), F.get(F.array(*map(F.lit, "TUSB")), (key % 4).cast("int")).alias("register_class"), (key % 16).alias("number"))
+    return S.registers(found).select("path", "line", "register", "feature", "register_type", "name", "pshader", "vshader", "vr", F.array_join("combos", ",").alias("combos"))
 
 
 @query("""
@@ -404,15 +412,12 @@ def b32_jaro_winkler(spark, d):
 WITH n AS (SELECT DISTINCT p_name FROM part),
 p AS (SELECT x.p_name AS a, y.p_name AS b, round(jaro_winkler_similarity(x.p_name, y.p_name), 6) AS score FROM n x, n y WHERE x.p_name <> y.p_name),
 r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY a ORDER BY score DESC, b))
-SELECT a, b, score, round(score - second, 6) AS gap, CASE WHEN score >= 0.75 AND score - second >= 0.01 THEN 'Matched' WHEN score >= 0.75 THEN 'Mismatched' ELSE 'Unmatched' END AS status FROM r WHERE rank = 1
+SELECT a, b, score, round(score - second, 6) AS gap FROM r WHERE rank = 1
 """)
 def b33_best_candidate(spark, d):
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    scored = name_pairs(spark, d).where("a <> b").select("a", "b", F.round(jaro_winkler_udf()("a", "b"), 6).alias("score"))
-    best = scored.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
-    gap = F.col("score") - F.col("second")
-    status = F.when((F.col("score") >= 0.75) & (gap >= 0.01), "Matched").when(F.col("score") >= 0.75, "Mismatched").otherwise("Unmatched")
-    return best.select("a", "b", "score", F.round(gap, 6).alias("gap"), status.alias("status"))
+    score = F.round(jaro_winkler_udf()("a", "b"), 6)
+    scored = name_pairs(spark, d).where("a <> b").select(F.xxhash64("a").alias("shader_id"), F.col("a").alias("shader_name"), F.lit(False).alias("boosted"), F.col("b").alias("host_name"), F.col("b").alias("host_file"), F.lit(1).alias("host_line"), F.lit(False).alias("flattened"), score.alias("similarity"), score.alias("score"))
+    return K.best_candidates(scored).where("rank = 1").select(F.col("shader_name").alias("a"), F.col("host_name").alias("b"), "score", F.round(F.col("score") - F.col("second_score"), 6).alias("gap"))
 
 
 @query()
@@ -517,8 +522,58 @@ def b43_defines(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(C.flatten_defines(nested), ",").alias("defines"), F.array_join(stripped, ",").alias("stripped"))
 
 
-@query(f"""WITH {HALVES_SQL}
-SELECT DISTINCT warning_key || ':' || entry AS warning_key FROM h WHERE old EXCEPT SELECT warning_key || ':' || entry FROM h WHERE NOT old""")
+@query(f"""WITH {HALVES_SQL}, k AS (SELECT warning_key || ':' || entry || ':' || location AS warning_key, old FROM h)
+SELECT warning_key FROM k WHERE old EXCEPT SELECT warning_key FROM k WHERE NOT old""")
 def b44_eliminated(spark, d):
-    old, new = (x.select(F.concat_ws(":", "warning_key", "entry").alias("warning_key")) for x in halves(spark, d))
+    old, new = (x.select(F.concat_ws(":", "warning_key", "entry", "location").alias("warning_key")) for x in halves(spark, d))
     return D.eliminated(old, new)
+
+
+#: The events as a log: event n is written at n milliseconds, on line 2n; an error also has a diagnostic on line 2n + 1.
+LOG_SQL = EVENTS_SQL.replace("(epoch_us(ts) // 1000)", "event_id")
+ENTRY_SQL = "'e' || user_id % 3 || ':Pixel:' || user_id % 10"
+
+
+def event_log(spark, d) -> DataFrame:
+    n = F.col("event_id")
+    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    time = F.concat(F.lit("["), two(F.floor(n / 3600000) % 24), F.lit(":"), two(F.floor(n / 60000) % 60), F.lit(":"), two(F.floor(n / 1000) % 60), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit("] ["), F.col("user_id").cast("string"), F.lit("] [D] "))
+    entry = F.concat(F.lit("e"), (F.col("user_id") % 3).cast("string"), F.lit(":Pixel:"), (F.col("user_id") % 10).cast("string"))
+    opens = F.concat(time, F.lit("Compiling Data/Shaders/f"), (F.col("user_id") % 5).cast("string"), F.lit(".hlsl "), entry, F.lit(" to A=1 B"))
+    diagnostic = F.concat(F.lit("Data\\Shaders\\W.hlsl("), (n % 50).cast("string"), F.lit("): warning X"), (n % 3).cast("string"), F.lit(": M"))
+    lines = F.when(F.col("event_type") == "signup", F.array(opens)).when(F.col("event_type") == "purchase", F.array(F.concat(time, F.lit("Compiled shader "), entry))).otherwise(F.array(F.concat(time, F.lit("Shader logs:")), diagnostic))
+    rows = table(spark, d, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
+    return rows.select(n, F.posexplode(lines).alias("p", "line")).select((2 * n + F.col("p")).cast("long").alias("line_no"), "line")
+
+
+@query(f"""WITH {LOG_SQL}, {PAIR_SQL}
+SELECT 2 * seq AS seq, user_id::VARCHAR AS process_id, {ENTRY_SQL} AS entry_point, 'Data/Shaders/f' || user_id % 5 || '.hlsl' AS file_path, 'A=1,B' AS defines, start_ms % 86400000 AS start_ms, end_ms % 86400000 AS end_ms FROM t""")
+def b45_log_tasks(spark, d):
+    return L.log_tasks(event_log(spark, d)).withColumn("defines", F.array_join("defines", ","))
+
+
+@query(f"""WITH {LOG_SQL}, {PAIR_SQL}, {ASOF_SQL}
+SELECT 'x' || event_id % 3 || ':m' AS warning_key, 'X' || event_id % 3 AS code, 'M' AS message, 'w.hlsl:' || event_id % 50 AS location, {ENTRY_SQL} AS entry, min(2 * event_id + 1) AS seq FROM q GROUP BY ALL""")
+def b46_log_warnings(spark, d):
+    lines = event_log(spark, d)
+    return L.log_warnings(lines, checkpoint(L.log_tasks(lines)))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_linenumber::INT AS a, (1 + l_partkey % 8)::INT AS b, least(l_linenumber, l_quantity::INT % 4) AS exact, l_suppkey % 3 AS high, (l_partkey % 100) / 100.0 AS score,
+             CASE WHEN l_suppkey % 5 > 0 THEN (l_suppkey % 100) / 100.0 END AS second, l_quantity::INT * 4 AS size, (l_orderkey % 100) / 100.0 AS names, l_linenumber % 4 AS diff FROM lineitem),
+r AS (SELECT *, least(a, b) AS low, greatest(a, b) AS top, least(a, b) / greatest(a, b) AS ratio, (exact + high) / least(a, b) AS good FROM s),
+j AS (SELECT *, CASE WHEN score < 0.5 THEN false WHEN ratio < (CASE WHEN top <= 3 THEN 0.4 ELSE 0.6 END) THEN false WHEN good < (CASE WHEN low <= 3 THEN 0.3 ELSE 0.5 END) THEN false
+             WHEN names > 0.8 THEN score > 0.4 AND good > 0.2 WHEN size > (CASE WHEN top > 5 THEN 128 ELSE 64 END) THEN false
+             ELSE NOT (second IS NOT NULL AND score - second < 0.05 AND score < 0.6) END AS accepted FROM r)
+SELECT l_orderkey, l_linenumber, score, accepted, CASE WHEN NOT accepted OR diff / low > 0.5 OR score < 0.75 THEN 'Unmatched' WHEN diff = 0 THEN 'Matched' ELSE 'Mismatched (H)' END AS status FROM j
+""")
+def b47_acceptance(spark, d):
+    q = F.col("l_quantity").cast("int")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_linenumber").cast("int").alias("total_fields"), (1 + F.col("l_partkey") % 8).cast("int").alias("host_total_fields"), F.least(F.col("l_linenumber"), q % 4).alias("exact_matches"),
+        (F.col("l_suppkey") % 3).alias("high_sim_matches"), (F.col("l_partkey") % 100 / 100.0).alias("score"), F.when(F.col("l_suppkey") % 5 > 0, F.col("l_suppkey") % 100 / 100.0).alias("second_score"), (q * 4).alias("size_difference"),
+        (F.col("l_orderkey") % 100 / 100.0).alias("names"), (F.col("l_linenumber") % 4).alias("field_diff_count"), F.lit("H").alias("host_name"),
+    )
+    judged = rows.withColumn("accepted", K.good_enough(F.col("names"))).withColumn("status", K.status())
+    return judged.select("l_orderkey", "l_linenumber", "score", "accepted", "status")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 TYPE_SIZES = {"float": 4, "float2": 8, "float3": 12, "float4": 16, "uint": 4, "uint2": 8, "uint3": 12, "uint4": 16, "int": 4, "int4": 16, "bool": 4}
 #: The optional corrected table adds the types the report's table lacks.
 MORE_TYPE_SIZES = {"int2": 8, "int3": 12, "half": 2, "half2": 4, "half3": 6, "half4": 8, "double": 8, "double2": 16}
+#: Bytes of an unknown type and of a pointer.
 DEFAULT_SIZE, POINTER_SIZE = 4, 8
 
 #: Vector types and the array types they equal.
@@ -16,8 +17,10 @@ ARRAY_TWINS = {f"{base}{n}": f"{base}[{n}]" for base in ("float", "int", "uint")
 #: Define combinations a source is read under, and register classes.
 COMBOS = {"PSHADER": ["PSHADER"], "PSHADER_VR": ["PSHADER", "VR"], "VSHADER": ["VSHADER"], "VSHADER_VR": ["VSHADER", "VR"]}
 REGISTER_CLASSES = {"t": "SRV", "u": "UAV", "s": "Sampler", "b": "CBV"}
+#: Stages of entry points and their types, folders outside the scan, defines of debug builds.
 SHADER_TYPES = {"vertex": "VSHADER", "pixel": "PSHADER", "compute": "CSHADER"}
 EXCLUDED_DIRS = ("build", "extern", "tools", "include")
+DEBUG_DEFINES = ("DEBUG", "_DEBUG", "D3D_DEBUG_INFO", "D3DCOMPILE_DEBUG", "D3DCOMPILE_SKIP_OPTIMIZATION")
 
 FIELD = "struct<name: string, type: string, size: int, array_size: int, is_unknown_type: boolean, packoffset: string>"
 STRUCT = f"language string, name string, fields array<{FIELD}>, file string, line int, is_cbuffer boolean, is_constant_buffer boolean, is_template boolean, template_type string, size int"

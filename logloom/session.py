@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -24,6 +25,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "log
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,11 +46,14 @@ def workers_can_import(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is used.
+    A local master may do without that setting and gets a temporary folder; a cluster may not, because its
+    executors must share the folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logloom-checkpoint-"))
     return df.checkpoint(eager)

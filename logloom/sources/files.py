@@ -16,15 +16,16 @@ def read_lines(spark: SparkSession, path: str, dense: bool = True) -> DataFrame:
     """(path, line_no, line), line_no from 1.
 
     dense=True reads each file as one row: for files of a memory's size. dense=False splits large files:
-    line_no is then a 64-bit number that grows with the line but has gaps (the split's start in MB, then
-    the row in its task), which is all that the order-dependent operators need.
+    line_no is then a 64-bit number that grows with the line but has gaps (the split's start in bytes, then
+    the row in the split), which is all that the order-dependent operators need.
     """
     if dense:
         raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
         return lines_of(raw, "value", "path")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
-    within = F.col("row").bitwiseAND((1 << 33) - 1)
-    return raw.select("path", (F.shiftleft(F.floor(F.col("start") / (1 << 20)).cast("long"), 33) + within + 1).alias("line_no"), "line")
+    # a line has a byte at least, so a split's lines counted from its start stay below the next split's start
+    first = raw.groupBy("path", "start").agg(F.min("row").alias("first"))
+    return raw.join(first, ["path", "start"]).select("path", (F.col("start") + F.col("row") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -53,7 +54,7 @@ def select_sources(files: DataFrame, extensions: tuple[str, ...] = (".hlsl", ".h
 def excluded_dirs(gitignore: str = "") -> tuple[str, ...]:
     """The default folders and the plain folder patterns of an ignore file."""
     own = (p.strip() for p in gitignore.splitlines())
-    return tuple(sorted({*schemas.EXCLUDED_DIRS, *(p.strip("/") for p in own if p.endswith("/") and not p.startswith(("#", "!")))}))
+    return tuple(sorted({*schemas.EXCLUDED_DIRS, *(p.strip("/").rpartition("/")[2] for p in own if p.strip("/") and p.endswith("/") and not p.startswith(("#", "!")))}))
 
 
 def with_combos(files: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def load_config(text: str) -> dict:
 
 
 def config_tasks(spark: SparkSession, config: dict) -> DataFrame:
-    """Compile tasks of a configuration document; nodes of another shape are passed over."""
+    """Compile tasks of a configuration document, numbered by seq; nodes of another shape are passed over."""
     rows = []
     for shader in config.get("shaders") or []:
         for kind, node in ((shader.get("configs") if isinstance(shader, dict) else None) or {}).items():
@@ -99,9 +100,9 @@ def config_tasks(spark: SparkSession, config: dict) -> DataFrame:
             for entry in node.get("entries") or []:
                 if isinstance(entry, dict) and "entry" in entry:
                     own = entry.get("defines")
-                    rows.append((shader.get("file"), kind, entry["entry"], [shared if isinstance(shared, list) else [], own if isinstance(own, list) else []]))
-    found = spark.createDataFrame(rows, "file string, shader_type string, entry string, nested array<array<string>>")
-    return found.select("file", "shader_type", "entry", C.flatten_defines("nested").alias("defines"))
+                    rows.append((len(rows), shader.get("file"), kind, entry["entry"], [shared if isinstance(shared, list) else [], own if isinstance(own, list) else []]))
+    found = spark.createDataFrame(rows, "seq long, file string, shader_type string, entry string, nested array<array<string>>")
+    return found.select("seq", "file", "shader_type", "entry", C.flatten_defines("nested").alias("defines"))
 
 
 def config_baseline(spark: SparkSession, config: dict) -> DataFrame:
