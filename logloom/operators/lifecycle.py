@@ -111,7 +111,7 @@ def block_warnings(lines: DataFrame) -> DataFrame:
 
 
 #: Time is a tree of nodes of RADIX children each.
-RADIX_BITS = 4
+RADIX_BITS = 3
 
 
 def _covering(first: Column, last: Column, levels: int) -> Column:
