@@ -10,7 +10,8 @@ maximal repeats. Both comparisons use the packed exchange (grid.py): no row per
 pairs of documents are formed, so a passage in thousands of documents costs one key per chunk.
 
 Defined results: null text has no words; documents shorter than a window lose nothing; windows are judged
-on the input; repeated rows share an id and do not remove each other; a null id counts as the largest;
+on the input; repeated rows share an id and do not remove each other; a null id counts as the largest,
+as does 2^63 - 1;
 an empty table gives no rows.
 """
 
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import ddl, record_batch
-from logloom.llm.grid import NO_ID, bits, cuts, from_bits, from_planes, grid, ids_of, pack_numbers, pack_sorted, planes, sha256_hex, texts_of, unpack_numbers, unpack_sorted, window_hash, word_hashes
+from logloom.llm.grid import NO_ID, bits, cuts, from_bits, from_planes, grid, ids_of, mix, pack_numbers, pack_sorted, planes, sha256_hex, texts_of, unpack_numbers, unpack_sorted, window_hash, word_hashes
 
 PROBES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("block", pa.binary()), ("twice", pa.binary())])
 ANCHORS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("hit", pa.binary())])
-WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary())])
-REPEATS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("all", pa.binary()), ("n", pa.int32())])
+WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
+REPEATS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("second", pa.binary()), ("all", pa.binary()), ("n", pa.int32())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 #: Odd multipliers of the rolling hashes.
@@ -138,10 +139,10 @@ def _windows(shape: Shape):
         lead = np.flatnonzero(new)
         most = np.maximum.reduceat(ids, lead)
         first, second, least = first[lead], second[lead], ids[lead]
-        # least: the smallest id here, its last bit says whether a larger one is here too
-        least = (least.astype(np.uint64) << np.uint64(1)) | (most > least).astype(np.uint64)
+        # several: a larger id than the smallest one is here too
+        several = most > least
         edge = cuts(first, shape.n_window)
-        rows = [(b, key[0].as_py(), j - i, pack_sorted(first[i:j], 8), planes(second[i:j], 8), pack_numbers(least[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+        rows = [(b, key[0].as_py(), j - i, pack_sorted(first[i:j], 8), planes(second[i:j], 8), pack_numbers(least[i:j]), bits(several[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
         return pa.Table.from_batches([record_batch(WINDOWS, list(zip(*rows)))], WINDOWS)
 
     return run
@@ -151,7 +152,8 @@ def _repeats(key: tuple, table: pa.Table) -> pa.Table:
     sizes = table.column("n").to_numpy()
     reader = {"first": lambda v: unpack_sorted(v, 8), "second": lambda v: from_planes(v, 8), "least": unpack_numbers}
     first, second, least = (np.concatenate([read(v.as_py()) for v in table.column(c)]) for c, read in reader.items())
-    here, local = (least >> np.uint64(1)).astype(np.int64), (least & np.uint64(1)).astype(bool)
+    here = least.astype(np.int64)
+    local = np.concatenate([from_bits(v.as_py(), n) for v, n in zip(table.column("several"), sizes)])
     rank = np.lexsort((second, first))
     a, b = first[rank], second[rank]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -164,7 +166,7 @@ def _repeats(key: tuple, table: pa.Table) -> pa.Table:
     for r, (i, j) in enumerate(zip(edge, edge[1:])):
         found = np.flatnonzero(all_here[i:j] | local[i:j]) + i
         if len(found):
-            rows.append((_of("chunk", table, r), pack_sorted(first[found], 8), bits(all_here[found]), len(found)))
+            rows.append((_of("chunk", table, r), pack_sorted(first[found], 8), planes(second[found], 8), bits(all_here[found]), len(found)))
     return pa.Table.from_batches([record_batch(REPEATS, list(zip(*rows)))] if rows else [], REPEATS)
 
 
@@ -175,13 +177,22 @@ def _cut(shape: Shape):
         covered = np.zeros(n + 1, np.int64)
         if len(answers):
             keys = np.concatenate([unpack_sorted(v.as_py(), 8) for v in answers.column("keys")])
+            other = np.concatenate([from_planes(v.as_py(), 8) for v in answers.column("second")])
             every = np.concatenate([from_bits(_of("all", answers, i), _of("n", answers, i)) for i in range(len(answers))])
-            rank = np.argsort(keys)
-            keys, every = keys[rank], every[rank]
+            rank = np.lexsort((other, keys))
+            keys, other, every = keys[rank], other[rank], every[rank]
             at = np.flatnonzero(words.starts(shape.window))
             first = window_hash(words.hashes, shape.window, FIRST)[at]
-            found = np.minimum(np.searchsorted(keys, first), len(keys) - 1)
-            same = keys[found] == first
+            found = np.searchsorted(keys, first)
+            near = found < len(keys)
+            near[near] = keys[found[near]] == first[near]
+            at, found, first = at[near], found[near], first[near]
+            second = _hashes_at(words.hashes, at, shape.window, SECOND)
+            # keys that agree in their first half lie side by side
+            while (later := (keys[np.minimum(found, len(keys) - 1)] == first) & (found < len(keys)) & (other[np.minimum(found, len(keys) - 1)] < second)).any():
+                found = found + later
+            same = found < len(keys)
+            same[same] = (keys[found[same]] == first[same]) & (other[found[same]] == second[same])
             at, found = at[same], found[same]
             ids = words.ids[words.doc[at]]
             least = np.full(len(keys), NO_ID)
@@ -203,6 +214,14 @@ def _cut(shape: Shape):
     return run
 
 
+def _hashes_at(words: np.ndarray, at: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """window_hash of the windows that start there."""
+    acc = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        acc = acc * np.uint64(factor) + words[at + j]
+    return mix(acc)
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[]] * 4
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, RESULT)], schema=RESULT)

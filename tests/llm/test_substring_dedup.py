@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import pytest
+
 from compare import assert_same
+from logloom.llm import grid
 from logloom.llm.substring_dedup import substring_dedup
 
 
@@ -39,3 +42,16 @@ def test_shared_passages_and_edges_of_the_input(spark):
     assert fast(substring_dedup(df)) == slow(docs)
     assert fast(substring_dedup(df, window=4)) == slow(docs, 4)
     assert substring_dedup(df.where("doc_id = -5")).count() == 0
+
+
+@pytest.mark.parametrize("chunk_bytes", [8 << 20, 1 << 10])
+def test_negative_and_extreme_ids_over_chunks(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(grid, "CHUNK_BYTES", chunk_bytes)
+    rng = random.Random(6)
+    docs = []
+    for j in range(20):
+        text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20))
+        docs += [(-5 - j, text), (3 + j, f"{text} tail")]
+    docs += [(-(2**63), docs[0][1]), (2**63 - 2, docs[2][1]), (None, docs[4][1]), (None, docs[4][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert fast(substring_dedup(df)) == slow(docs)
