@@ -5,7 +5,7 @@ document's most frequent n-grams are compared with every profile by out-of-place
 the document's n-grams of the difference of ranks, or `top` where the profile lacks the n-gram.
 
 Profiles are fitted on a hash sample of about `sample_per_language` labelled rows of each language; that
-bound is the one documented limit. Their n-gram counts are summed by a shuffle on (language, n-gram) and
+bound and `most_languages` are the documented limits of the fit. Their n-gram counts are summed by a shuffle on (language, n-gram) and
 only the `top` of each language reach the driver. Prediction is map-only over whole texts.
 
 Defined results: a null text or one without letters is `und` with score 0; rows with a null language
@@ -32,30 +32,33 @@ def _is_letter() -> np.ndarray:
     return keep("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
-def grams(text: str) -> np.ndarray:
-    """All 1- to 3-grams as integers of 21 bits a character; a space pads words and stands alone nowhere."""
+def letters(text: str) -> np.ndarray:
+    """The text's letters as code points, a single space (32) before, between and after its words; empty without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    chars = np.where(letter, points, 32)[keep].astype(np.int64)
+    chars = np.where(letter, points, np.uint32(32))[keep]
     if not len(chars):
         return chars
-    chars = np.concatenate(([32], chars, [32]) if chars[-1] != 32 else ([32], chars))
-    two = chars[:-1] << 21 | chars[1:]
-    three = two[:-1] << 21 | chars[2:]
-    inside = chars[1:-1] != 32
-    return np.concatenate((chars[chars != 32], two, three[inside]))
+    return np.concatenate(([32], chars, [32]) if chars[-1] != 32 else ([32], chars)).astype(np.uint32)
+
+
+def grams(chars: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The 1- to 3-grams that begin at start..end, as integers of 21 bits a character; a space stands alone nowhere."""
+    part = chars[start : end + 2].astype(np.int64)
+    one = part[: end - start]
+    two = part[:-1] << 21 | part[1:]
+    three = two[:-1] << 21 | part[2:]
+    inside = part[1 : 1 + len(three)] != 32
+    return np.concatenate((one[one != 32], two[: end - start], three[inside][: end - start]))
 
 
 def counts(text: str, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, ascending, and their counts; very long texts are counted in steps that end at a word's end (a run of over 2 * step letters is cut)."""
-    keys, n, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    while at < len(text):
-        end = min(len(text), at + step)
-        while end < len(text) and text[end - 1].isalpha() and end < at + 2 * step:
-            end += 1
-        found = np.sort(grams(text[at:end]))
+    """Distinct n-grams, ascending, and their counts; long texts are counted in steps, which see two letters further."""
+    keys, n, chars = np.zeros(0, np.int64), np.zeros(0, np.int64), letters(text)
+    for at in range(0, len(chars), step):
+        found = np.sort(grams(chars, at, min(len(chars), at + step)))
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1])))
         new, size = found[first], np.diff(np.append(first, len(found)))
         if len(keys):
@@ -63,7 +66,6 @@ def counts(text: str, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
             keys, n = both, np.bincount(where, np.concatenate((n, size)), len(both)).astype(np.int64)
         else:
             keys, n = new, size
-        at = end
     return keys, n
 
 
@@ -115,10 +117,14 @@ def _predict(profiles: Profiles):
     return run
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 400, sample_per_language: int = 2000) -> Profiles:
-    """Profiles from a hash sample of about so many rows of each language (all rows where there are fewer)."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 400, sample_per_language: int = 2000, most_languages: int = 1000) -> Profiles:
+    """Profiles from a hash sample of about so many rows of each language (all rows where there are fewer).
+
+    Of more than `most_languages` labels, the most frequent ones are learned.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sized = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in sized.collect()}
     if not sizes:
         return Profiles([], top)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_per_language / n))])

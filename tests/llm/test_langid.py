@@ -29,6 +29,16 @@ def test_counts_equal_brute_force():
         assert dict(zip(keys.tolist(), n.tolist())) == {number(g): c for g, c in slow_counts(text).items()}
 
 
+def test_a_very_long_run_of_letters_is_not_cut():
+    keys, n = counts("ab" * (1 << 20))
+    assert dict(zip(keys.tolist(), n.tolist())) == {number(g): c for g, c in slow_counts("ab" * (1 << 20)).items()}
+
+
+def test_labels_are_bounded(spark):
+    rows = spark.createDataFrame([(i, "ab", f"l{i % 7}") for i in range(70)] + [(99, "cd", "rare")], "doc_id long, text string, lang string")
+    assert fit(rows, most_languages=7).langs == [f"l{i}" for i in range(7)]
+
+
 def test_ranks():
     assert top_grams(np.array([3, 5, 9]), np.array([2, 7, 2]), 2).tolist() == [5, 3]
 
