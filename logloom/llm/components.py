@@ -27,14 +27,15 @@ def _star(directed: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node reachable; edges has columns a and b, and a > b not needed.
 
-    Nodes without an edge to another node don't appear. Each round is checkpointed; it ends when no edge moves.
+    Nodes without an edge to another node don't appear. Each round is checkpointed; it ends when no edge moves, after a number of
+    rounds that grows with the logarithm of the nodes.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         large = _star(_both(edges), larger=True)
         edges = checkpoint(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
