@@ -4,8 +4,8 @@ A window is `window` consecutive words. Reference blocks are the non-overlapping
 b = (window + 1) // 2 words of every document, so every window holds a whole block. All blocks are
 indexed, every rolling run of b words of every document probes the index, and a run is an anchor if it is
 some document's block and also occurs in another document. Only windows that touch an anchor can repeat;
-hits are extended to the whole window, compared by 128-bit fingerprints of the word sequence, and a
-window is removed where it starts in a document with a smaller id. Neighbouring removed windows merge into
+hits are extended to the whole window, compared by 128-bit fingerprints of the word sequence (of which
+a chunk gets 96 bits back), and a window is removed where it starts in a document with a smaller id. Neighbouring removed windows merge into
 maximal repeats. Both comparisons use the packed exchange (grid.py): no row per window is shuffled and no
 pairs of documents are formed, so a passage in thousands of documents costs one key per chunk.
 
@@ -166,7 +166,7 @@ def _repeats(key: tuple, table: pa.Table) -> pa.Table:
     for r, (i, j) in enumerate(zip(edge, edge[1:])):
         found = np.flatnonzero(all_here[i:j] | local[i:j]) + i
         if len(found):
-            rows.append((_of("chunk", table, r), pack_sorted(first[found], 8), planes(second[found], 8), bits(all_here[found]), len(found)))
+            rows.append((_of("chunk", table, r), pack_sorted(first[found], 8), planes(second[found], 4), bits(all_here[found]), len(found)))
     return pa.Table.from_batches([record_batch(REPEATS, list(zip(*rows)))] if rows else [], REPEATS)
 
 
@@ -177,7 +177,7 @@ def _cut(shape: Shape):
         covered = np.zeros(n + 1, np.int64)
         if len(answers):
             keys = np.concatenate([unpack_sorted(v.as_py(), 8) for v in answers.column("keys")])
-            other = np.concatenate([from_planes(v.as_py(), 8) for v in answers.column("second")])
+            other = np.concatenate([from_planes(v.as_py(), 4) for v in answers.column("second")])
             every = np.concatenate([from_bits(_of("all", answers, i), _of("n", answers, i)) for i in range(len(answers))])
             rank = np.lexsort((other, keys))
             keys, other, every = keys[rank], other[rank], every[rank]
@@ -187,7 +187,7 @@ def _cut(shape: Shape):
             near = found < len(keys)
             near[near] = keys[found[near]] == first[near]
             at, found, first = at[near], found[near], first[near]
-            second = _hashes_at(words.hashes, at, shape.window, SECOND)
+            second = _hashes_at(words.hashes, at, shape.window, SECOND) >> np.uint64(32) << np.uint64(32)
             # keys that agree in their first half lie side by side
             while (later := (keys[np.minimum(found, len(keys) - 1)] == first) & (found < len(keys)) & (other[np.minimum(found, len(keys) - 1)] < second)).any():
                 found = found + later
