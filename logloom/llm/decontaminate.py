@@ -1,8 +1,9 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
 
 Texts and items are sequences of normalised words (lower case, outer punctuation removed). An item of m
-words occurs in a document if some window of m consecutive words is within floor(m * `max_share`) edits
-(insertions, deletions, substitutions of words). The CGK random walk copies a string of n words into 3n
+words occurs in a document if some run of consecutive words, of any length, is within e = floor(m * `max_share`)
+edits (insertions, deletions, substitutions of words). Windows of m words, shorter by at most e where the text ends,
+are the candidates; from a candidate's start the best end decides. The CGK random walk copies a string of n words into 3n
 places: at place j it writes the current word and moves on if a random bit of (j, word) says so, so strings
 at a small edit distance get embeddings at a small Hamming distance. `walks` independent walks are each
 sampled at `tables` sets of `places` places; a window is compared with the items that share a sample, and
@@ -10,10 +11,11 @@ the exact edit distance decides.
 
 A window can hold an item only if enough of its word pairs are pairs of the items: one edit destroys two at
 most, so m - 1 - 2 * floor(m * max_share) pairs of items of m words must remain. Windows below that bound
-are not embedded; nothing is lost by it. The benchmark is the stated query set: it is read in blocks of at
-most `block` items, and each block is sent to the workers as its index.
+are not embedded. The benchmark is the stated query set: it is indexed in blocks of at most `block`
+items, all of which a document meets in one pass, so its row is the same for any number of blocks. The
+indexes go to the workers with the code, about 10 KB an item.
 
-Defined results: null text and texts shorter than an item match nothing; items without words match nothing,
+Defined results: null text and texts shorter than m - e words match nothing; items without words match nothing,
 items of under `shortest` words only a document whose whole text equals them; repeated items count each,
 repeated rows are returned each; an empty benchmark leaves every document clean.
 """
@@ -181,8 +183,9 @@ class Index:
         length, start = [], []
         for column, m in enumerate(self.lengths):
             s = self.starts(at[has[:, column]], m)
-            s = s[(s >= 0) & (s + m <= len(flat))]
-            s = s[np.searchsorted(ends, s) == np.searchsorted(ends, s + m - 1)]
+            least = m - self.edits(m)
+            s = s[(s >= 0) & (s + least <= len(flat))]
+            s = s[np.searchsorted(ends, s) == np.searchsorted(ends, s + least - 1)]
             length.append(np.full(len(s), m))
             start.append(s)
         length, start = np.concatenate(length), np.concatenate(start)
@@ -192,9 +195,9 @@ class Index:
 
     def _match(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, ends: np.ndarray, found: list[dict[int, int]]) -> None:
         reach = np.arange(self.width + 1)
-        padded = np.where(reach < length[:, None], flat[np.minimum(start[:, None] + reach, len(flat) - 1)], 0)
-        embedded = self.embed(padded)
         doc = np.searchsorted(ends, start)
+        padded = np.where(reach < np.minimum(length, ends[doc] - start)[:, None], flat[np.minimum(start[:, None] + reach, len(flat) - 1)], 0)
+        embedded = self.embed(padded)
         for m in np.unique(length).tolist():
             mine = np.flatnonzero(length == m)
             keys, tried = self.keys(embedded, mine, m), set()
@@ -211,7 +214,8 @@ class Index:
                 for _, w in sorted(zip(rank.tolist(), windows)):
                     if best == 0:
                         break
-                    distance = edit_distance(padded[mine[w], :m], self.coded[k], best - 1)
+                    at = start[mine[w]]
+                    distance = prefix_distance(flat[at : min(at + m + self.edits(m), ends[d])], self.coded[k], best - 1)
                     best = best if distance is None else distance
                 if best <= self.edits(m):
                     found[d][self.ids[k]] = min(best, found[d].get(self.ids[k], best))
@@ -221,10 +225,11 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edits between two sequences, None if more than `most`; only the diagonal band is filled."""
+def prefix_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Least edits between b and a beginning of a, None if more than `most`; only the diagonal band is filled."""
     a, b = a.tolist(), b.tolist()
     above = list(range(len(b) + 1))
+    best = above[-1]
     for i, x in enumerate(a, 1):
         low, high = max(1, i - most), min(len(b), i + most)
         row = [most + 1] * (len(b) + 1)
@@ -232,10 +237,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         for j in range(low, high + 1):
             # an unknown word (1) equals nothing of an item
             row[j] = min(above[j - 1] + (x != b[j - 1]), above[j] + 1, row[j - 1] + 1)
-        if min(row[low - 1 : high + 1]) > most:
-            return None
+        best = min(best, row[-1])
+        if low > len(b) or min(row[low - 1 : high + 1]) > most:
+            break
         above = row
-    return above[-1] if above[-1] <= most else None
+    return best if best <= most else None
 
 
 def _coded(index: Index, texts: list[bytes]) -> list[np.ndarray]:
@@ -247,24 +253,34 @@ def _coded(index: Index, texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _search(index: Index):
+def _found(indexes: list[Index], texts: list[bytes]) -> list[dict[int, int]]:
+    """For each text, the items of all blocks that occur in it -> their smallest distance."""
+    found = indexes[0].find(_coded(indexes[0], texts))
+    for index in indexes[1:]:
+        for mine, more in zip(found, index.find(_coded(index, texts)), strict=True):
+            for item, distance in more.items():
+                mine[item] = min(distance, mine.get(item, distance))
+    return found
+
+
+def _search(indexes: list[Index]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep("nothing")
         for part in batches(parts, 2000):
             ids, texts = (c.to_pylist() for c in part.columns)
-            found = index.find(_coded(index, texts))
+            found = _found(indexes, texts)
             best = [min(f.items(), key=lambda x: (x[1], x[0]), default=(None, None)) for f in found]
             yield record_batch(HITS, [ids, [sorted(f) for f in found], [b[1] for b in best], [b[0] for b in best]])
 
     return run
 
 
-def _clean(index: Index, column: int):
+def _clean(indexes: list[Index], column: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep("nothing")
         for part in batches(parts, 2000):
             texts = [(t or "").encode() for t in part.column(column).to_pylist()]
-            yield part.filter(pa.array([not f for f in index.find(_coded(index, texts))], pa.bool_()))
+            yield part.filter(pa.array([not f for f in _found(indexes, texts)], pa.bool_()))
 
     return run
 
@@ -285,18 +301,8 @@ def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, max_share:
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_share: float = 0.2, block: int = 2000) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ascending ids joined by commas), item_id and distance of the closest.
-
-    One row per input row (per id where the benchmark takes several blocks).
-    """
-    rows = id_and_text(docs, id_col, text_col)
-    parts = [rows.mapInArrow(_search(index), HITS_DDL) for index in _indexes(benchmark, item_col, item_text_col, max_share, block)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if len(parts) > 1:
-        closest = F.when(F.col("distance").isNotNull(), F.struct("distance", "item_id"))
-        found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min(closest).alias("b")).select("doc_id", "items", "b.distance", "b.item_id")
+    """doc_id, contaminated, n_items, items (ascending ids joined by commas), item_id and distance of the closest: one row per input row."""
+    found = id_and_text(docs, id_col, text_col).mapInArrow(_search(_indexes(benchmark, item_col, item_text_col, max_share, block)), HITS_DDL)
     return found.select(
         "doc_id",
         (F.size("items") > 0).alias("contaminated"),
@@ -309,6 +315,4 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_share: float = 0.2, block: int = 2000) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item; a filter without shuffle or join."""
-    for index in _indexes(benchmark, item_col, item_text_col, max_share, block):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
-    return docs
+    return docs.mapInArrow(_clean(_indexes(benchmark, item_col, item_text_col, max_share, block), docs.columns.index(text_col)), docs.schema)
