@@ -24,6 +24,7 @@ markup is read leniently, unknown references stay as written; repeated rows coun
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,7 +38,8 @@ from logloom.session import checkpoint
 
 BROADCAST_BYTES = 8 << 20
 
-SUBTREES = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("host", pa.int64()), ("subtree", pa.int64())])
+SUBTREES = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("host", pa.int64()), ("subtrees", pa.list_(pa.int64()))])
+SUBTREES_DDL = "key long, content long, host long, subtrees array<long>"
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 #: Element names of HTML.
@@ -60,17 +62,18 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Word parts that mark boilerplate inside a longer name, such as `cookiebar`.
 DROPPED_PARTS = re.compile("cookie|advert|sidebar|sidenav|newsletter|breadcrumb|disqus|navbar|popup|usercomment|readercomment", re.I)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+STOPS = re.compile(r"""[<>"']""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/><\"']*")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "subtree")
+    __slots__ = ("tag", "attributes", "children", "subtree", "size")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children, self.subtree = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.subtree, self.size = tag, attributes, [], 0, None
 
     def names(self) -> tuple[set[str], dict[str, str]]:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(self.attributes)} if self.attributes else {}
@@ -78,46 +81,94 @@ class Node:
         return {w.lower() for w in words}, found
 
 
-def parse(html: str) -> Node:
-    root = Node("#root")
-    stack, at = [root], 0
-    while at < len(html):
-        m = TAG.search(html, at)
+def tags(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, text or name, attributes) from left to right: kinds are text, open, close.
+
+    Every character is looked at a bounded number of times: a tag that meets a `<` outside its quotes before
+    its `>` is text up to there, a quote that never closes is no quote, and a tag cut off by the end is dropped.
+    """
+    n, at = len(html), 0
+    last = {c: html.rfind(c) for c in "\"'>"}
+    raw = {}
+    while at < n:
+        start = html.find("<", at)
+        if start < 0:
+            yield "text", html[at:], ""
+            return
+        if start > at:
+            yield "text", html[at:start], ""
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), start) and start < last[">"]:
+            at = html.find(">", start) + 1
+            continue
+        closing = html.startswith("/", start + 1)
+        m = TAG_NAME.match(html, start + 1 + closing)
         if m is None:
-            stack[-1].children.append(html[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            yield "text", "<", ""
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        end = m.end()
+        while True:
+            stop = STOPS.search(html, end)
+            if stop is None or stop[0] in "<>":
+                break
+            # a quote
+            end = html.find(stop[0], stop.end()) + 1 if stop.end() <= last[stop[0]] else stop.end()
+        if stop is None:
+            return
+        if stop[0] == "<":
+            yield "text", html[start : stop.start()], ""
+            at = stop.start()
             continue
-        if tag not in INLINE and tag not in VOID:
-            _close_implied(stack, tag)
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+        at, name, attributes = stop.end(), m[0].lower(), html[m.end() : stop.start()]
+        yield ("close" if closing else "open"), name, attributes
+        if not closing and name in RAW:
+            if name not in raw:
+                raw[name] = re.compile(rf"</{name}\s*>", re.I)
+            found = raw[name].search(html, at)
+            at = found.end() if found else n
+
+
+def parse(html: str) -> Node:
+    root = Node("#root")
+    stack = [root]
+    open_ = Counter()
+
+    def close(depth: int) -> None:
+        open_.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
+    for kind, text, attributes in tags(html):
+        if kind == "text":
+            stack[-1].children.append(text)
+        elif kind == "close":
+            if open_[text]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == text))
+        else:
+            if text not in INLINE and text not in VOID and any(open_[t] for t in CLOSES.get(text, ("p",))):
+                depth = _implied(stack, text)
+                if depth:
+                    close(depth)
+            node = Node(text, attributes)
+            stack[-1].children.append(node)
+            if text not in VOID and text not in RAW and not attributes.endswith("/"):
+                stack.append(node)
+                open_[text] += 1
     return root
 
 
-def _close_implied(stack: list[Node], tag: str) -> None:
+def _implied(stack: list[Node], tag: str) -> int:
+    """The depth of the element that an opening tag closes, 0 for none."""
     for depth in range(len(stack) - 1, 0, -1):
         open_ = stack[depth].tag
         if open_ in SCOPES.get(tag, ()) or open_ in ("table", "article", "section", "div", "td") and tag not in CLOSES:
-            break
+            return 0
         if open_ == "p" and tag not in CLOSES or open_ in CLOSES.get(tag, ()):
-            del stack[depth:]
-            break
+            return depth
+    return 0
 
 
 def hash_subtrees(root: Node) -> list[Node]:
@@ -194,19 +245,15 @@ def main_container(root: Node) -> tuple[Node, bool]:
     return together, True
 
 
-def _links(node: Node) -> tuple[int, int]:
-    """Characters of text, and of those inside links."""
-    total = linked = 0
-    stack = [(node, False)]
-    while stack:
-        n, link = stack.pop()
-        for c in n.children:
-            if isinstance(c, Node):
-                stack.append((c, link or c.tag == "a"))
-            else:
-                k = len("".join(c.split()))
-                total, linked = total + k, linked + k * link
-    return total, linked
+def _measure(root: Node) -> None:
+    """Sets on every element the characters of its text, and of those inside links."""
+    order = [(root, False)]
+    for node, link in order:
+        order.extend((c, link or c.tag == "a") for c in node.children if isinstance(c, Node))
+    for node, link in reversed(order):
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        inner = [c.size for c in node.children if isinstance(c, Node)]
+        node.size = (own + sum(t for t, _ in inner), own * link + sum(k for _, k in inner))
 
 
 def _recurring(main: Node, loose: frozenset[int] | set[int]) -> set[int]:
@@ -231,6 +278,8 @@ def main_text(html: str, strict: frozenset[int] | set[int] = frozenset(), loose:
         hash_subtrees(root)
     main, named = main_container(root)
     boxes = _recurring(main, loose) if named and loose else set()
+    if not named:
+        _measure(main)
     blocks: list[list[str]] = [[]]
 
     # depth first without recursion: an int closes a block
@@ -250,7 +299,7 @@ def main_text(html: str, strict: frozenset[int] | set[int] = frozenset(), loose:
             if boilerplate(node, named) or node.subtree and (node.subtree in strict or node.subtree in boxes and node.tag not in INLINE and node.tag not in RUNNING):
                 continue
             if not named and node.tag not in INLINE and node.tag not in RUNNING and node.tag not in ("html", "body"):
-                total, linked = _links(node)
+                total, linked = node.size
                 if node.subtree in loose and node.subtree or total and linked > 0.6 * total:
                     continue
         if node.tag in INLINE:
@@ -276,8 +325,8 @@ def _subtrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # of a page that names its main container, only what lies inside can matter
             main = main_container(parse(html))[0]
             blocks = hash_subtrees(main)
-            rows.append((key, main.subtree, host, 0))
-            rows.extend((key, main.subtree, host, h) for h in {n.subtree for n in blocks if n is not main})
+            # the leading 0 stands for the page itself
+            rows.append((key, main.subtree, host, [0, *{n.subtree for n in blocks if n is not main}]))
         if rows:
             yield record_batch(SUBTREES, list(zip(*rows, strict=True)))
 
@@ -298,7 +347,8 @@ def extract_main_text(
     """page_id, url, text, n_chars: one row per input row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
-    seen = rows.select("key", "url", "html").mapInArrow(_subtrees, ddl(SUBTREES))
+    # a few numbers a page, written once, so that pages are parsed once for counting and once for their text
+    seen = checkpoint(rows.select("key", "url", "html").mapInArrow(_subtrees, SUBTREES_DDL)).select("key", "content", "host", F.explode("subtrees").alias("subtree"))
     # copies of a page are one content, whatever stands around their main container
     counted = seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     hosts = counted.where("subtree = 0").select(F.col("host").alias("host_"), F.col("n").alias("pages"))

@@ -1,4 +1,8 @@
-from logloom.llm.html_extract import extract_main_text, main_text
+from collections import defaultdict
+
+import pytest
+
+from logloom.llm.html_extract import extract_main_text, hash_subtrees, main_container, main_text, parse
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -43,3 +47,46 @@ def test_all_main_containers_in_page_order():
     assert main_text("<body><p>x</p><article><p>a</p></article><div><article><p>longer b</p></article></div><aside><article>y</article></aside></body>") == "a longer b"
     assert main_text("<body><nav>n</nav><main><h1>Title</h1><article><p>text</p></article><p>end</p></main></body>") == "Title text end"
     assert main_text("<body><section class='content'><p>a</p></section><p>x</p><section class='content'><div class='body'><p>b c</p></div></section></body>") == "a b c"
+
+
+def test_recurrence_alone_removes_blocks_without_telling_names(spark):
+    """No main container, no known class name: what is left is decided by the counts."""
+    chrome = "<div class='q1'><p>All stories of the week</p></div><div class='q2'><div><p>Contact the office</p></div></div>"
+    got = texts(spark, [f"<body>{chrome}<div class='q3'>{article(i)}</div><div class='q4'><p>Printed in the town</p></div></body>" for i in range(6)])
+    assert all(t.startswith(f"Title {i} words") and t.endswith(f"item {i}") for i, t in got.items())
+
+
+def test_counts_of_hosts_equal_brute_force(spark):
+    pages = {(r.page_id, r.url): r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    contents, holders = defaultdict(set), defaultdict(set)
+    for (_, url), html in pages.items():
+        main = main_container(parse(html))[0]
+        blocks = {n.subtree for n in hash_subtrees(main) if n is not main}
+        host = url.split("/")[2]
+        contents[host].add(main.subtree)
+        for s in blocks:
+            holders[host, s].add(main.subtree)
+    want = {}
+    for (i, url), html in pages.items():
+        host = url.split("/")[2]
+        n = {s: len(holders[host, s]) for h, s in holders if h == host}
+        total = len(contents[host])
+        strict = {s for s, k in n.items() if k >= 10 and k > 0.6 * total}
+        want[i] = main_text(html, strict, {s for s, k in n.items() if k >= 3 and k > 0.02 * total})
+    assert {r.page_id: r.text for r in extract_main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()} == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<p ", "<", "</", "<!", "<!--", "<script>", "<div>", "</div>", "<i><li>", "<a \"'", "<b x='\"", "<p><i>", "<td>", "&", "<div><p>"])
+def test_broken_markup_is_read_in_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    main_text(piece * 100_000)
+    assert time.process_time() - start < 8
+
+
+def test_broken_markup_is_read_leniently():
+    assert main_text("a <b then <p>c</p>") == "a <b then c"
+    assert main_text('<p title="x>y">a</p><p title="open>b</p><p>c') == "a b c"
+    assert main_text("<p>1 < 2 and 3 > 2</p><a href='x") == "1 < 2 and 3 > 2"
+    assert main_text("<p>a<!-- <p>x --> b</p><!doctype html><p>c<br/>d</p><!-- open <p>z") == "a b c d"
