@@ -2,9 +2,9 @@
 
 Rows are dealt by (length, content hash) of the normalised text. Each task inserts full byte strings into
 a compressed radix trie whose terminal nodes hold the owner (most code points, then smallest id) and the
-number of rows. The rows of a task come sorted by (length, hash), Spark's sorter spilling if need be, so a
-trie over its memory budget is released by subtree: at the next change of key every string below it is
-complete. Copies inside a map task are merged by the same trie before the shuffle (released over its
+number of rows. The rows of a task come sorted by string, Spark's sorter spilling if need be, so in a
+trie over its memory budget every subtree beside the path to the last string is complete: those subtrees are
+released, the open path stays. Copies inside a map task are merged by the same trie before the shuffle (released over its
 memory budget), so a group holding a third of all rows sends one string per task and budget. The decision returns to the rows by a join on the SHA-256,
 which AQE splits where one key is hot.
 
@@ -72,6 +72,32 @@ class PatriciaTrie:
             stack.extend((child, here) for child in node[1].values())
 
 
+    def finished(self, last: bytes) -> Iterator[tuple[bytes, tuple[int, int, int]]]:
+        """Takes out and yields the strings before `last`, the greatest one inserted; the path to `last` stays.
+
+        With keys in ascending order, every subtree beside that path is complete.
+        """
+        node, at, depth = self.root, 0, 1
+        while True:
+            child = node[1].get(last[at]) if at < len(last) else None
+            done = [c for c in node[1].values() if c is not child]
+            node[1] = {} if child is None else {last[at]: child}
+            if node[2] is not None and at < len(last):
+                yield last[:at], node[2]
+                node[2] = None
+            stack = [(c, last[:at]) for c in done]
+            while stack:
+                inner, above = stack.pop()
+                here = above + inner[0]
+                if inner[2] is not None:
+                    yield here, inner[2]
+                stack.extend((c, here) for c in inner[1].values())
+            if child is None:
+                break
+            node, at, depth = child, at + len(child[0]), depth + 1
+        self.bytes = len(last) + 300 * depth
+
+
 def _shared(key: bytes, at: int, label: bytes) -> int:
     """Length of the common prefix of key[at:] and label, which differ."""
     low, high = 0, min(len(label), len(key) - at)
@@ -116,19 +142,17 @@ def _own(limit: int):
         keep("nothing")
         trie, last = PatriciaTrie(), None
 
-        def release():
-            rows = [(hashlib.sha256(norm).hexdigest(), None if o[1] == NO_ID else o[1], o[2]) for norm, o in trie.owners()]
-            return record_batch(OWNERS, list(zip(*rows, strict=True)))
+        def release(owners):
+            while some := [(hashlib.sha256(norm).hexdigest(), None if o[1] == NO_ID else o[1], o[2]) for norm, o in islice(owners, 1000)]:
+                yield record_batch(OWNERS, list(zip(*some, strict=True)))
 
         for part in batches(parts):
-            for size, hashed, norm, n, doc_id, rows in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if trie.bytes > limit and last != (size, hashed):
-                    yield release()
-                    trie = PatriciaTrie()
-                last = (size, hashed)
+            for _, _, norm, n, doc_id, rows in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 trie.insert(norm, n, doc_id, rows)
-        if last is not None:
-            yield release()
+                last = norm
+                if trie.bytes > limit:
+                    yield from release(trie.finished(last))
+        yield from release(trie.owners())
 
     return run
 
@@ -138,7 +162,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), F.translate(text, SPACES, "").alias("norm"))
     local = rows.select(F.col("norm").cast("binary"), "n", "doc_id").mapInArrow(_merge(trie_bytes // 2), ddl(LOCAL))
-    dealt = local.repartition("size", "hash").sortWithinPartitions("size", "hash")
+    dealt = local.repartition("size", "hash").sortWithinPartitions("norm")
     owners = dealt.mapInArrow(_own(trie_bytes), ddl(OWNERS))
     marked = rows.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     return marked.join(owners, "sha", "left").select(

@@ -23,10 +23,22 @@ def test_trie_keeps_owners():
 
 
 def test_release_by_subtree_changes_nothing():
-    rows = sorted((k % 7, k % 7 * 31, b"x" * (k % 7), k, k, 1) for k in range(200))
+    rng = random.Random(7)
+    norms = sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 7))) for _ in range(600))
+    rows = [(len(w), 0, w, rng.randint(0, 9), k, 1) for k, w in enumerate(norms)]
     batch = pa.record_batch([list(c) for c in zip(*rows)], names=["size", "hash", "norm", "n", "id", "rows"])
-    whole, parts = (sorted(zip(*(c for p in _own(limit)(iter([batch])) for c in [p.to_pylist()]))) if False else sorted(str(r) for p in _own(limit)(iter([batch])) for r in p.to_pylist()) for limit in (1 << 30, 1))
-    assert whole == parts and len(whole) == 7
+    found = [sorted(str(r) for p in _own(limit)(iter([batch])) for r in p.to_pylist()) for limit in (1 << 30, 5000, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(set(norms))
+
+
+def test_the_open_path_stays():
+    trie = PatriciaTrie()
+    for w in (b"", b"aa", b"ab", b"abc", b"abd"):
+        trie.insert(w, 1, 1, 1)
+    assert sorted(w for w, _ in trie.finished(b"abd")) == [b"", b"aa", b"ab", b"abc"]
+    trie.insert(b"abd", 2, 9, 1)
+    trie.insert(b"b", 1, 3, 1)
+    assert sorted(trie.owners()) == [(b"abd", (2, 9, 2)), (b"b", (1, 3, 1))]
 
 
 def test_edges_of_the_input(spark):
