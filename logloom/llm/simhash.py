@@ -9,8 +9,9 @@ fingerprints are merged first, so a group of copies is one row. Distinct fingerp
 * for a wide distance, under samples of bits, as many as the recall asks for.
 
 Within a key the fingerprints are sorted by Gray rank and indexed in levels of `FAN` children; a node keeps
-the bits its children share. The index is joined with itself from the top: a pair of nodes is dropped when
-its shared bits already differ too often, or when all below is one component; it is linked whole when
+the bits its children share. The index is joined with itself from the top: a pair of nodes carries the
+differences counted in the bits both share and its children count in the bits they newly share only; the pair is
+dropped with all below it when the differences are too many, or when all below is one component; it is linked whole when
 even its free bits cannot exceed the distance. Only a spanning forest leaves the task, never all pairs.
 A key with more than `HOT` fingerprints is split into blocks that are met in pairs by separate tasks.
 
@@ -141,16 +142,17 @@ class GrayIndex:
 
         verify: decides on two places whether fingerprints within k bits are linked.
         """
-        top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        top, one_pair = len(self.levels) - 1, np.zeros(1, np.int64)
+        # with every pair: the differences counted so far, and the bits in which they were counted
+        stack = [(top, one_pair, one_pair, one_pair, np.zeros((1, self.levels[0][0].shape[1]), np.uint64))]
         while stack:
-            level, i, j = stack.pop()
+            level, i, j, least, counted = stack.pop()
             if len(i) > size:
-                stack += [(level, i[c : c + size], j[c : c + size]) for c in range(0, len(i), size)]
+                stack += [(level, *(x[c : c + size] for x in (i, j, least, counted))) for c in range(0, len(i), size)]
                 continue
             (pattern, mask), start = self.levels[level], self.starts[level]
             shared = mask[i] & mask[j]
-            least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared).sum(axis=1, dtype=np.int64)
+            least = least + np.bitwise_count((pattern[i] ^ pattern[j]) & shared & ~counted).sum(axis=1, dtype=np.int64)
             near = least <= self.k
             i, j, least, shared = i[near], j[near], least[near], shared[near]
             if not level:
@@ -162,14 +164,16 @@ class GrayIndex:
             for a, b in zip(i[whole], j[whole]):
                 below = np.concatenate((np.arange(start[a], start[a + 1]), np.arange(start[b], start[b + 1])))
                 self._unite(np.full(len(below), start[a]), below)
-            i, j = i[~one & ~whole], j[~one & ~whole]
+            left = ~one & ~whole
+            i, j, least, shared = i[left], j[left], least[left], shared[left]
             if len(i):
                 child = np.arange(FAN)
                 below = len(self.levels[level - 1][0])
                 x = (i[:, None] * FAN + child)[:, :, None].repeat(FAN, 2).reshape(-1)
                 y = (j[:, None] * FAN + child)[:, None, :].repeat(FAN, 1).reshape(-1)
                 good = (x < below) & (y < below) & ((x < y) if level == 1 else (x <= y))
-                stack.append((level - 1, x[good], y[good]))
+                above = np.flatnonzero(good) // (FAN * FAN)
+                stack.append((level - 1, x[good], y[good], least[above], shared[above]))
         out = np.empty(len(self.order), np.int64)
         out[self.order] = self.order[self.label]
         return out
