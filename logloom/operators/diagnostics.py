@@ -82,7 +82,8 @@ def ranked_warnings(places: DataFrame, order: str, n: int, shown_places: int = 3
     # the best are n rows
     kept = rows.join(F.broadcast(best.select("warning_key")), "warning_key", "left_semi").withColumn("p", first).where(F.col("p") <= shown_places)
     samples = kept.groupBy("warning_key").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
-    return best.join(samples, "warning_key").select("warning_key", "d.code", "d.message", "instances", "combinations", "percent", "samples").orderBy(F.desc(order), "warning_key")
+    none = F.array().cast(samples.schema["samples"].dataType)
+    return best.join(samples, "warning_key", "left").select("warning_key", "d.code", "d.message", "instances", "combinations", "percent", F.coalesce("samples", none).alias("samples")).orderBy(F.desc(order), "warning_key")
 
 
 def instance_counts(hits: DataFrame) -> DataFrame:

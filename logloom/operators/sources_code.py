@@ -278,15 +278,10 @@ def parse_member(text: str | list[str], host: bool) -> dict | None:
     r.words = words_of(text) if isinstance(text, str) else text
     if not host and r.peek() in ("row_major", "column_major"):
         r.at += 1
-    parts = []
-    while (word := r.peek()) == ":" and r.peek(1) == ":" or r.name():
-        if word == ":":
-            r.at += 2
-            word = "::"
-        parts.append(word)
-        if r.peek() != ":" and word != "::" or r.peek(1) != ":":
-            break
-    if not parts or parts[-1] == "::":
+    parts = [r.name() or ""]
+    while parts[-1] and r.take(":", ":"):
+        parts += ["::", r.name() or ""]
+    if not parts[-1]:
         return None
     kind = "".join(parts)
     if argument := r.argument():

@@ -184,7 +184,7 @@ def _ranked(rows: DataFrame, impact: str) -> Iterable[str]:
         for s in r["samples"]:
             more = f" (+{s['more']} more)" if s["more"] else ""
             yield f"   Location: {s['location']}" + (f" (entries: {', '.join(s['entries'])}{more})" if s["entries"] else "")
-        if r["instances"] > len(r["samples"]):
+        if r["samples"] and r["instances"] > len(r["samples"]):
             yield f"   Location: ...and {r['instances'] - len(r['samples'])} more locations"
 
 

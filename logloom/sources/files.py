@@ -36,7 +36,10 @@ def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".hlsl", ".hlsli"), excluded: tuple[str, ...] = schemas.EXCLUDED_DIRS) -> DataFrame:
-    """(path relative to root, content) of the files with these extensions (any case), outside excluded folders."""
+    """(path relative to root, content) of the files with these extensions (any case), outside excluded folders.
+
+    Spark's text source passes over files without a byte, so those are not in the tree.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
     # the metadata column holds an encoded URI, with one slash or three after a local scheme
     local = F.regexp_replace("full", "^file:/+", "/")

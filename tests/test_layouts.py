@@ -126,7 +126,7 @@ def test_flatten_order_and_cycles(spark):
     f = lambda n, t: (n, t, 4, 1, False, None)
     rows = [("shader", "A", [f("x", "B"), f("y", "float"), f("z", "C")], "f", 1), ("shader", "B", [f("b1", "C"), f("b2", "float")], "f", 2), ("shader", "C", [f("c1", "float"), f("c2", "float")], "g", 1), ("shader", "C", [f("other", "float")], "h", 1), ("host", "C", [f("host", "float")], "a", 1), ("shader", "Loop", [f("me", "Loop")], "f", 9)]
     df = spark.createDataFrame(rows, f"language string, name string, fields array<{schemas.FIELD}>, file string, line int")
-    flat = {(r.name, r.file): [x.name for x in r.flat] for r in K.flatten(df, depth=5).collect()}
+    flat = {(r.name, r.file): [x.name for x in r.flat] for r in K.flatten(df).collect()}
     assert flat["A", "f"] == ["c1", "c2", "b2", "y", "c1", "c2"] and flat["Loop", "f"] == ["me"]
 
 
