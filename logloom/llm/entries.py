@@ -11,6 +11,7 @@ from logloom.llm.decontaminate import find_items
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.html_extract import extract_main_text
 from logloom.llm.license_scan import scan_licenses
+from logloom.llm.oracles import OP1_SQL, OP8_SQL
 from logloom.llm.packing import pack
 from logloom.llm.simhash import simhash_components
 from logloom.llm.substring_dedup import substring_dedup
@@ -132,7 +133,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_simhash": OP1_SQL,
     "op7_chat_formatting": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
