@@ -34,19 +34,23 @@ def running_new(current: DataFrame, baseline: DataFrame, key: str, entry: str, l
     """current with is_new: the entry's distinct locations of the key so far exceed the baseline's count.
 
     A key that the baseline lacks is always new. Legacy baseline rows name locations without entries: their
-    locations count as seen from the first line on. Entries compare without case.
+    locations count as seen from the first line on. Entries compare without case. The count exceeds from one
+    row on, the first one of the location that is one too many; only distinct locations are ordered to find it,
+    so a warning repeated in many lines is no hot group.
     """
     is_legacy = F.col(legacy) if legacy else F.lit(False)
     base = baseline.groupBy(key).agg(F.max(is_legacy).alias("__legacy"), F.array_sort(F.collect_set(F.when(is_legacy, F.col(location)))).alias("__places"), F.count(F.when(is_legacy, 1)).alias("__listed"))
     counted = baseline.where(~is_legacy).groupBy(key, F.lower(entry).alias("__e")).agg(F.count_distinct(location).alias("__base"))
-    rows = current.withColumn("__e", F.lower(entry)).join(base, key, "left").join(counted, [key, "__e"], "left")
-    first = F.row_number().over(Window.partitionBy(key, "__e", location).orderBy(seq)) == 1
-    known = F.coalesce(F.array_contains("__places", F.col(location)), F.lit(False))
-    rows = rows.withColumn("__first", (first & ~known).cast("int"))
-    run = Window.partitionBy(key, "__e").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.sum("__first").over(run) + F.when(F.col("__legacy"), F.size("__places")).otherwise(0)
-    limit = F.when(F.col("__legacy"), F.col("__listed")).otherwise(F.coalesce("__base", F.lit(0)))
-    return rows.withColumn("is_new", F.col("__legacy").isNull() | (seen > limit)).drop("__e", "__legacy", "__places", "__listed", "__base", "__first")
+    rows = current.withColumn("__e", F.lower(entry))
+    firsts = rows.groupBy(key, "__e", location).agg(F.min(seq).alias("__from")).join(base, key).join(counted, [key, "__e"], "left")
+    spare = F.when(F.col("__legacy"), F.col("__listed") - F.size("__places")).otherwise(F.coalesce("__base", F.lit(0)))
+    unknown = firsts.where(~F.coalesce(F.array_contains("__places", F.col(location)), F.lit(False)))
+    ranked = unknown.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__e").orderBy("__from")))
+    # a struct of nulls equals another, so null entries meet
+    limits = ranked.where(F.col("__rank") == spare + 1).select(F.struct(key, "__e").alias("__ke"), "__from")
+    found = rows.withColumn("__ke", F.struct(key, "__e")).join(base.select(key, "__legacy"), key, "left").join(limits, "__ke", "left")
+    exceeds = F.coalesce(F.col(seq) >= F.col("__from"), F.lit(False))
+    return found.select(*current.columns, (F.col("__legacy").isNull() | exceeds).alias("is_new"))
 
 
 def warnings(parsed: DataFrame, baseline: DataFrame, suppress: list[str] | None = None) -> DataFrame:
@@ -156,10 +160,18 @@ def share(rows: DataFrame, value: str, name: str = "percent") -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("__total") > 0, 100.0 * F.col(value) / F.col("__total")).otherwise(0.0)).drop("__total")
 
 
-def context_lines(lines: DataFrame, hit: Column, order: str, line: str, partition: list[str], before: int = 2, after: int = 2) -> DataFrame:
-    """Hit lines with the lines around them."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-before, after)
-    return lines.withColumn("context", F.collect_list(line).over(w)).where(hit)
+def context_lines(lines: DataFrame, hit: Column, order: str, line: str, partition: list[str], before: int = 2, after: int = 2, block: int = 100_000) -> DataFrame:
+    """Hit lines with the lines around them in a numeric order.
+
+    Lines are numbered, and each block of lines also sees the nearest ones of the blocks beside it.
+    """
+    numbered = row_numbers(lines, order, "__rn", partition=partition)
+    at, own = F.col("__rn"), F.floor(F.col("__rn") / block)
+    blocks = F.array_distinct(F.array(F.floor((at - after) / block), own, F.floor((at + before) / block)))
+    each = numbered.withColumn("__own", own).withColumn("__block", F.explode(blocks))
+    w = Window.partitionBy(*partition, "__block").orderBy("__rn").rowsBetween(-before, after)
+    found = each.withColumn("context", F.collect_list(line).over(w)).where((F.col("__block") == F.col("__own")) & hit)
+    return found.drop("__rn", "__own", "__block")
 
 
 def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_window", bits: int = 16) -> DataFrame:
@@ -182,13 +194,17 @@ def sliding_count(events: DataFrame, at: Column, width: int, name: str = "in_win
     return rows.join(windows, F.col("__at") == F.col("__t"), "left").drop("__at", "__t")
 
 
-def row_numbers(rows: DataFrame, order: str, name: str, bits: int = 16) -> DataFrame:
-    """Row numbers from 0 over a numeric order: a running count over one row per chunk, then within chunks."""
-    chunked = rows.withColumn("__chunk", F.shiftright(F.col(order).cast("long"), bits))
-    before = Window.partitionBy(F.lit(0)).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = chunked.groupBy("__chunk").agg(F.count("*").alias("n")).select("__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    w = Window.partitionBy("__chunk").orderBy(order)
-    return chunked.join(start, "__chunk").withColumn(name, F.col("__start") + F.row_number().over(w) - 1).drop("__chunk", "__start")
+def row_numbers(rows: DataFrame, order: str, name: str, bits: int = 16, partition: list[str] | None = None) -> DataFrame:
+    """Row numbers from 0 over a numeric order: a running count over one row per chunk, then within chunks.
+
+    They are counted apart in each partition; null partitions are equal to each other.
+    """
+    part = F.struct(*partition) if partition else F.struct(F.lit(0).alias("all"))
+    chunked = rows.withColumn("__part", part).withColumn("__chunk", F.shiftright(F.col(order).cast("long"), bits))
+    before = Window.partitionBy("__part").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = chunked.groupBy("__part", "__chunk").agg(F.count("*").alias("n")).select("__part", "__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    w = Window.partitionBy("__part", "__chunk").orderBy(order)
+    return chunked.join(start, ["__part", "__chunk"]).withColumn(name, F.col("__start") + F.row_number().over(w) - 1).select(*rows.columns, name)
 
 
 def moving_average(rows: DataFrame, value: str, order: str, n: int = 10, name: str = "average", block: int = 100_000) -> DataFrame:

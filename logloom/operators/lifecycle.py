@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions import columns as C
 
@@ -14,21 +15,44 @@ CLOSE = HEAD + r"\[D\] (?:Compiled shader|Adding Completed shader to map:) ([^:]
 BLOCK = HEAD + r"\[D\] Shader logs:"
 
 
+#: Ordered rows are handled in chunks of so many order values, so that one long log is many tasks.
+CHUNK_BITS = 16
+
+
+def _chunk(order: str | Column) -> Column:
+    return F.shiftright(C.col(order).cast("long"), CHUNK_BITS)
+
+
 def pair_lifo(events: DataFrame, keys: list[str], seq: str, kind: str, end: str = "end_seq") -> DataFrame:
     """Opening events (kind 1) with the seq of the closing event (kind -1) that takes the latest open one of its key.
 
-    Parenthesis matching with running sums: closers without an open event fall out, then an opener is closed
-    by the next event of its depth if that is a closer. Both windows share the shuffle on the keys.
+    seq is a whole number, or a struct that starts with one. Parenthesis matching with running sums: a closer
+    that takes the sum to a new low below 0 closes nothing; the depth of the others is the sum less that low,
+    and an opener is closed by the next event of its depth if that is a closer. A key's events are ordered
+    within chunks of order values only: sums, lows and the first event of each depth cross the chunks by one
+    row a chunk, so a hot key is many tasks. Null keys are equal to each other.
     """
-    by = Window.partitionBy(*keys).orderBy(seq)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = F.sum(kind).over(upto)
-    lowest = F.least(F.lit(0), F.coalesce(F.min("__s").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    valid = events.withColumn("__s", level).withColumn("__low", lowest).where(~((F.col(kind) == -1) & (F.col("__s") < F.col("__low"))))
-    deep = valid.withColumn("__depth", F.sum(kind).over(upto) + F.when(F.col(kind) == -1, 1).otherwise(0))
-    same = Window.partitionBy(*keys, "__depth").orderBy(seq)
-    nexts = deep.withColumn("__next", F.lead(seq).over(same)).withColumn("__what", F.lead(kind).over(same)).where(F.col(kind) == 1)
-    return nexts.withColumn(end, F.when(F.col("__what") == -1, F.col("__next"))).drop("__s", "__low", "__depth", "__next", "__what")
+    whole = F.col(seq)
+    if isinstance(events.schema[seq].dataType, T.StructType):
+        whole = whole.getField(events.schema[seq].dataType[0].name)
+    rows = events.withColumn("__key", F.struct(*keys)).withColumn("__chunk", _chunk(whole))
+    by = Window.partitionBy("__key", "__chunk").orderBy(seq)
+    rows = rows.withColumn("__s", F.sum(kind).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__low", F.min("__s").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    sums = rows.groupBy("__key", "__chunk").agg(F.sum(kind).alias("total"), F.min("__s").alias("low"))
+    before = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("__s0", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    carried = carried.withColumn("__low0", F.least(F.lit(0), F.min(F.col("__s0") + F.col("low")).over(before))).select("__key", "__chunk", "__s0", "__low0")
+    level, lowest = F.col("__s0") + F.col("__s"), F.least("__low0", F.col("__s0") + F.col("__low"))
+    closes = F.col(kind) == -1
+    deep = rows.join(carried, ["__key", "__chunk"]).where(~closes | (level >= lowest)).withColumn("__depth", level - lowest + closes.cast("int"))
+    event = F.struct(F.col(seq).alias("seq"), F.col(kind).alias("kind"))
+    firsts = deep.groupBy("__key", "__chunk", "__depth").agg(F.min_by(event, seq).alias("first"))
+    later = firsts.select("__key", "__chunk", "__depth", F.lead("first").over(Window.partitionBy("__key", "__depth").orderBy("__chunk")).alias("__later"))
+    inside = F.lead(event).over(Window.partitionBy("__key", "__chunk", "__depth").orderBy(seq))
+    opened = deep.withColumn("__next", inside).where(F.col(kind) == 1).join(later, ["__key", "__chunk", "__depth"])
+    following = F.coalesce("__next", "__later")
+    return opened.select(*events.columns, F.when(following.getField("kind") == -1, following.getField("seq")).alias(end))
 
 
 def file_of(lines: DataFrame) -> list[str]:
@@ -62,14 +86,6 @@ def log_tasks(lines: DataFrame) -> DataFrame:
     return paired.select(*part, "seq", "process_id", "entry_point", "file_path", "defines", F.col("ms").alias("start_ms"), F.col("closed.ms").alias("end_ms"))
 
 
-#: Ordered lines are handled in chunks of so many order values, so that one long log is many tasks.
-CHUNK_BITS = 16
-
-
-def _chunk(order: str) -> Column:
-    return F.shiftright(F.col(order).cast("long"), CHUNK_BITS)
-
-
 def islands(lines: DataFrame, opens: Column, ends: Column, order: str, partition: list[str] | None = None) -> DataFrame:
     """Lines that follow an opening line before any ending one; `head` is the opening line's order value.
 
