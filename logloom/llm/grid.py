@@ -1,7 +1,7 @@
 """Packed exchange: corpus-wide facts about the n-grams of all documents at a few bytes an n-gram.
 
 Documents are dealt into chunks by the hash of their id and text (about `CHUNK_BYTES` of text each), so
-rows that share an id, null ids among them, are no hot chunk. A chunk turns its
+rows that share an id, null ids among them, are no hot chunk; rows equal in both do share one. A chunk turns its
 n-grams into sorted 64-bit keys and sends every key bucket one row with a packed block of its distinct
 keys; a bucket answers every block in the block's own order, a bit or a byte a key; the chunk, met again
 by a cogroup on the same exchange of texts, looks its n-grams up. Sorted keys travel as byte planes,
