@@ -9,7 +9,8 @@ memory budget), so a group holding a third of all rows sends one string per task
 which AQE splits where one key is hot.
 
 Defined results: null text counts as empty; all empty texts are one group; null ids come last among
-equals; repeated rows each count and each stay if their id is the kept one; an empty table gives no rows.
+equals; repeated rows each count, and each is marked kept if its id is the kept one (`keep_first` leaves one
+of them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from itertools import islice
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import SPACES, batches, ddl, keep, record_batch
+from logloom.llm.common import SPACES, batches, ddl, keep, record_batch, unused
 
 NO_ID = (1 << 63) - 1
 
@@ -171,6 +172,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is the kept one of its group."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of docs, all columns: one of each group of equal texts, the one that `exact_dedup` keeps.
+
+    Of rows that share the kept id and the normalised text, null ids too, the one with the most code points stays,
+    then the least text. The rows meet the decisions by id and text, so copies with ids of their own are spread.
+    """
+    key, place = unused(docs, "__key"), unused(docs, "__place")
+    own = lambda id_, sha: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), sha)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(own(F.col("doc_id"), F.col("text_sha256")).alias(key)).distinct()
+    keyed = docs.withColumn(key, own(F.col(id_col).cast("long"), F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)))
+    order = Window.partitionBy(key).orderBy(F.length(text).desc(), text)
+    return keyed.join(kept, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

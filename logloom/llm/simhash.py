@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch
+from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch, unused
 from logloom.llm.components import components
 from logloom.llm.grid import mix, window_hash, word_hashes
 from logloom.session import checkpoint
@@ -424,7 +424,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at least
     `similarity`. At a similarity s two fingerprint bits differ with probability at most
     arccos(2s / (1 + s)) / pi; candidates lie within three deviations above that distance.
-    Rows with a null id stay.
+    Rows with a null id stay. Rows that share an id are one document: they go or stay together.
     """
     differ = acos(2 * similarity / (1 + similarity)) / pi
     k = int(256 * differ + 3 * sqrt(256 * differ * (1 - differ)))
@@ -441,5 +441,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         grouped = grouped.join(large, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(meets)).alias("key"), "doc_id", "t")
     linked = components(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(k, similarity), ddl(EDGES)))
     least = distinct.join(linked, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("least"))
-    gone = sketches.join(least, "digest").where("least < doc_id").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
+    gone_id = unused(docs, "__gone_id")
+    gone = sketches.join(least, "digest").where("least < doc_id").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
