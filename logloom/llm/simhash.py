@@ -13,7 +13,10 @@ the bits its children share. The index is joined with itself from the top: a pai
 differences counted in the bits both share and its children count in the bits they newly share only; the pair is
 dropped with all below it when the differences are too many, or when all below is one component; it is linked whole when
 even its free bits cannot exceed the distance. Only a spanning forest leaves the task, never all pairs.
-A key with more than `HOT` fingerprints is split into blocks that are met in pairs by separate tasks.
+A key with more than `HOT` fingerprints is split into blocks that are met in pairs by separate tasks. Where that would
+copy a fingerprint more often than k + 1 times, exact keys are refined instead: of k + 1 blocks of the bits that the key leaves free, two
+fingerprints within k share one whole, so every fingerprint goes on under k + 1 longer keys, again and again
+until no key is hot. A key with f free bits has at most 2^f distinct fingerprints, so this ends.
 
 `keep_one` uses the fingerprints to find candidates only. Documents with the same set of shingles are merged; the
 others meet under bands of min-hashes, which find a pair at the similarity asked for at any number of
@@ -49,6 +52,7 @@ NO_ID = (1 << 63) - 1
 
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 KEYED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
+REFINED = pa.schema([*KEYED, ("fixed", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary()), ("bands", pa.binary())])
 
@@ -258,20 +262,51 @@ def tables_for(n_prints: int, agree: float, recall: float = 0.99) -> tuple[int,
     return ceil(log(1 - recall) / log(1 - agree**n_bits)), n_bits
 
 
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key = key * np.uint64(0xD1342543DE82EF95)
+    return (key ^ key >> np.uint64(32)).view(np.int64)
+
+
 def _keyed(masks: list):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep("nothing")
         for part in batches(parts, 5000):
             prints = _words(part.column(0).to_pylist())
             for t, mask in enumerate(masks):
+                fixed = 0
                 if isinstance(mask, int):
-                    key = prints[:, 0] & np.uint64(mask)
+                    key, fixed = prints[:, 0] & np.uint64(mask), mask
                 else:
                     key = np.zeros(len(prints), np.uint64)
                     for place in mask:
                         key = key << np.uint64(1) | (prints[:, place // 64] >> np.uint64(place % 64)) & np.uint64(1)
-                key = (key ^ np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD1342543DE82EF95)
-                yield record_batch(KEYED, [(key ^ key >> np.uint64(32)).view(np.int64), part.column(1), part.column(0)])
+                key = _mixed(key ^ np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                yield record_batch(REFINED, [key, part.column(1), part.column(0), np.full(len(key), fixed, np.uint64).view(np.int64)])
+
+    return run
+
+
+def free_blocks(fixed: int, k: int) -> list[int]:
+    """The bits that are not in fixed, as k + 1 masks of neighbouring ones."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    edge = [len(free) * i // (k + 1) for i in range(k + 2)]
+    return [sum(1 << b for b in free[i:j]) for i, j in zip(edge, edge[1:])]
+
+
+def _refine(k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing")
+        for part in batches(parts, 5000):
+            key, fixed = (part.column(c).to_numpy().view(np.uint64) for c in (0, 3))
+            prints = _words(part.column(2).to_pylist())[:, 0]
+            for mask in np.unique(fixed):
+                at = np.flatnonzero(fixed == mask)
+                rows = part.take(pa.array(at))
+                for t, block in enumerate(free_blocks(int(mask), k), 1):
+                    # the key stands for all bits but those of the block
+                    longer = mix(key[at] + np.uint64(t)) ^ (prints[at] & np.uint64(block))
+                    both = np.full(len(at), int(mask) | block, np.uint64)
+                    yield record_batch(REFINED, [_mixed(longer), rows.column(1), rows.column(2), both.view(np.int64)])
 
     return run
 
@@ -286,13 +321,24 @@ def _meets(own, parts, key: str):
     return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.xxhash64(key, F.least(own, o), F.greatest(own, o))))
 
 
-def _edges(keyed: DataFrame, k: int) -> DataFrame:
-    """Links within k bits of the fingerprints that share a key."""
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+def _edges(keyed: DataFrame, k: int, exact: bool = False) -> DataFrame:
+    """Links within k bits of the fingerprints that share a key.
+
+    exact: keys stand for the bits in `fixed`, so those that pairs of blocks would copy more often than k + 1 times are refined.
+    """
+    while True:
+        hot = checkpoint(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+        more = hot.where(F.col("n") > HOT * (k + 1))
+        if not exact or more.isEmpty():
+            break
+        marked = keyed.join(more, F.col("key") == F.col("hot"), "left")
+        longer = marked.where("hot is not null").select("key", "id", "fp", "fixed").mapInArrow(_refine(k), ddl(REFINED))
+        keyed = checkpoint(marked.where("hot is null").select("key", "id", "fp", "fixed").unionByName(longer))
+    keyed = keyed.select("key", "id", "fp")
     if not hot.isEmpty():
         parts = F.ceil(F.col("n") / HOT).cast("int")
         meets = _meets(F.pmod(F.xxhash64("fp"), parts).cast("int"), parts, "key")
-        keyed = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(meets)).alias("key"), "id", "fp")
+        keyed = keyed.join(hot, F.col("key") == F.col("hot"), "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(meets)).alias("key"), "id", "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(k), ddl(EDGES))
 
 
@@ -306,8 +352,9 @@ def near_components(prints: DataFrame, k: int = 4, agree: float | None = None) -
     n = distinct.count()
     words = (distinct.agg(F.max(F.length("fp")).alias("n")).first()["n"] or 8) // 8
     masks = block_masks(n, k) if agree is None else sample_masks(words, *tables_for(n, agree))
-    keyed = distinct.where(F.col("id") != NO_ID).select("fp", "id").mapInArrow(_keyed(masks), ddl(KEYED))
-    edges = _edges(keyed, k)
+    keyed = distinct.where(F.col("id") != NO_ID).select("fp", "id").mapInArrow(_keyed(masks), ddl(REFINED))
+    # 2^(k + 1) below HOT * (k + 1): a key with so many fingerprints leaves more than k bits free
+    edges = _edges(keyed, k, agree is None and 1 << (k + 1) <= HOT * (k + 1))
     linked = components(edges)
     return distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 

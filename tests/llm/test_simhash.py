@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from logloom.llm.simhash import GrayIndex, block_masks, gray_rank, near_components, simhash_components
+from logloom.llm.simhash import GrayIndex, block_masks, free_blocks, gray_rank, near_components, simhash_components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType())])
 
@@ -89,3 +89,28 @@ def test_hot_key_is_split(spark, monkeypatch):
     got = {bytes(r.fp): r.component_id for r in near_components(rows).collect()}
     slow = slow_components(prints)
     assert all(got[p.to_bytes(8, "big")] == slow[i] for i, p in prints.items())
+
+
+def test_very_hot_keys_are_refined(spark, monkeypatch):
+    """A third of all fingerprints share the bits of a key; longer keys lose no link."""
+    import logloom.llm.simhash as module
+
+    rng = np.random.default_rng(6)
+    base, low = int(rng.integers(0, 1 << 62)), (1 << 24) - 1
+    dense = [base & ~low | int(x) for x in rng.integers(0, 1 << 24, 500)]
+    near = [p ^ sum(1 << int(b) for b in rng.choice(24, 4, replace=False)) for p in dense[::4]]
+    prints = dict(enumerate([*dense, *near, *map(int, rng.integers(0, 1 << 62, 900))]))
+    rows = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in prints.items()], "doc_id long, fp binary")
+    rounds, whole = [], module._refine
+    monkeypatch.setattr(module, "HOT", 10)
+    monkeypatch.setattr(module, "_refine", lambda k: rounds.append(k) or whole(k))
+    got = {bytes(r.fp): r.component_id for r in near_components(rows).collect()}
+    slow = slow_components(prints)
+    assert len(rounds) > 1
+    assert all(got[p.to_bytes(8, "big")] == slow[i] for i, p in prints.items())
+
+
+@pytest.mark.parametrize("fixed,k", [(0, 4), ((1 << 40) - 1, 4), (0b1010 << 30, 7)])
+def test_free_blocks_cover_the_free_bits_once(fixed, k):
+    blocks = free_blocks(fixed, k)
+    assert len(blocks) == k + 1 and all(blocks) and sum(blocks) == (1 << 64) - 1 - fixed
