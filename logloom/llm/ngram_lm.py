@@ -15,8 +15,9 @@ n-gram that is not found backs off.
 Probabilities are interpolated with Dirichlet priors: P(w | context) = (c + m * P(w | shorter context)) /
 (C + m), which sums to one over the vocabulary; the unigram is add-one over the known tokens and one unknown.
 The strength m of an order is the one under which the model expects as many new continuations, one
-occurrence left out at a time, as there are n-grams that occur once; it is fitted on `FIT_CELLS` hash buckets
-of each order, a bounded sample of the n-grams. Log probabilities are quantised with an error below 2.5e-4.
+occurrence left out at a time, as there are n-grams that occur once; it is fitted on the counts of all n-grams
+of the training documents, of which only how often each count occurs is gathered. Log probabilities are
+quantised with an error below 2.5e-4.
 
 Defined results: null text is empty and scores its end token alone; rows with a null id hash as an empty
 id; with no training rows every token has the add-one probability of an empty count; repeated rows count
@@ -42,14 +43,12 @@ from logloom.llm.grid import cuts, grid, mix, pack_numbers, pack_sorted, texts_o
 #: A space never occurs in a word, so these never equal a word's hash input.
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(s)) for s in (b" end", b" begin"))
 SPARE_BITS = 13
-#: Hash buckets of an order on which its strength is fitted.
-FIT_CELLS = 4
 #: Log10 probabilities from -16 to 0 have two-byte codes, finer towards 0 as the squares of the codes are.
 LEAST, MOST_CODE = -16.0, 65535
 
 COUNTS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWERS = pa.schema([("chunk", pa.int32()), ("cell", pa.int32()), ("n", pa.int32()), ("codes", pa.binary())])
-TOTALS = pa.schema([("order", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("codes", pa.binary()), ("uses", pa.binary())])
+USES = pa.schema([("order", pa.int32()), ("count", pa.int64()), ("uses", pa.int64())])
 FITTED = "tokens long, distinct long, strengths array<double>"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -325,20 +324,24 @@ def _answer(model: Model):
     return run
 
 
-def _totals(model: Model):
-    """Tokens and distinct words of the unigram cells; how often each count occurs in the cells of the fit."""
+def _uses(model: Model):
+    """How many n-grams of a cell have each count; the end token is nobody's context and has an order of its own, 0."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cell = key[0].as_py()
         n = model.order_of(cell)
-        fits = cell - model.cell(n) < FIT_CELLS
-        if n > 1 and not fits:
-            return TOTALS.empty_table()
-        keys, total, _ = _summed(model, cell, table)
-        # an end token is nobody's context
-        codes, uses = np.unique(encode_counts(total[(total > 0) & ((keys != END) | (n > 1))]), return_counts=True)
-        row = (n, int(total.sum()) if n == 1 else 0, int((total > 0).sum()) if n == 1 else 0, codes.astype("<u2").tobytes() if fits else None, uses.astype("<i8").tobytes() if fits else None)
-        return pa.Table.from_batches([record_batch(TOTALS, [[v] for v in row])], TOTALS)
+        size = model.size(n)
+        keys = np.concatenate([unpack_sorted(k.as_py(), size) for k in table.column("keys")])
+        counts = np.concatenate([unpack_numbers(c.as_py()) for c in table.column("counts")]).astype(np.int64)
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        by_key = np.argsort(keys)
+        keys = keys[by_key]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        total = np.add.reduceat(counts[by_key], first) if len(first) else counts
+        end = (keys[first] == END) & (n == 1)
+        rows = [np.unique(total[~end], return_counts=True), (total[end], np.ones(end.sum(), np.int64))]
+        orders = np.repeat([n, 0], [len(c) for c, _ in rows])
+        return pa.Table.from_batches([record_batch(USES, [orders, *map(np.concatenate, zip(*rows))])], USES)
 
     return run
 
@@ -360,13 +363,13 @@ def strength(contexts: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, n
 def _fit(order: int):
     def run(parts):
         for part in parts:
-            for r in part.to_pylist():
-                found = {n: [np.zeros(0), np.zeros(0)] for n in range(1, order + 1)}
-                for h in r["hists"]:
-                    for i, v in enumerate((decode_counts(np.frombuffer(h["codes"], "<u2")), np.frombuffer(h["uses"], "<i8").astype(np.float64))):
-                        found[h["order"]][i] = np.concatenate((found[h["order"]][i], v))
-                strengths = [strength(tuple(found[n - 1]), tuple(found[n])) for n in range(2, order + 1)]
-                yield pa.record_batch([pa.array([r["tokens"] or 0], pa.int64()), pa.array([r["distinct"] or 0], pa.int64()), pa.array([strengths], pa.list_(pa.float64()))], names=["tokens", "distinct", "strengths"])
+            for r in part.column(0):
+                # in order, so that sums of floats come out the same in every run
+                orders, counts, uses = np.array(sorted(zip(*(x.to_pylist() for x in r.values.flatten()))), np.int64).reshape(-1, 3).T
+                of = [(counts[orders == n], uses[orders == n]) for n in range(order + 1)]
+                tokens, distinct = (int(sum(x.sum() for x in found)) for found in ([c * u for c, u in of[:2]], [u for _, u in of[:2]]))
+                strengths = [strength(of[n - 1], of[n]) for n in range(2, order + 1)]
+                yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([distinct], pa.int64()), pa.array([strengths], pa.list_(pa.float64()))], names=["tokens", "distinct", "strengths"])
 
     return run
 
@@ -422,9 +425,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     model = Model(order=order, n_uni=g.buckets(0.2), n_more=g.buckets(0.8), key_bytes=g.key_bytes(SPARE_BITS))
     texts = g.texts.groupBy("chunk")
     counted = texts.applyInArrow(_count(model), ddl(COUNTS)).groupBy("cell")
-    hists = F.collect_list(F.when(F.col("codes").isNotNull(), F.struct("order", "codes", "uses"))).alias("hists")
-    # one row; the histograms are FIT_CELLS an order
-    fitted = counted.applyInArrow(_totals(model), ddl(TOTALS)).agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), hists).mapInArrow(_fit(order), FITTED)
+    uses = counted.applyInArrow(_uses(model), ddl(USES)).groupBy("order", "count").agg(F.sum("uses").alias("uses"))
+    # one row; no more counts differ than the square root of twice the tokens, an order
+    fitted = uses.agg(F.collect_list(F.struct("order", "count", "uses"))).mapInArrow(_fit(order), FITTED)
     if strengths is not None:
         fitted = fitted.withColumn("strengths", F.array(*[F.lit(float(m)) for m in strengths]))
     answers = counted.applyInArrow(_answer(model), ddl(ANSWERS)).crossJoin(F.broadcast(fitted))

@@ -135,6 +135,17 @@ def test_a_text_that_occurs_twice_is_more_probable(spark):
     assert np.mean([got[i] > bound for i in ids[:100]]) > 0.9
 
 
+def test_strengths_come_from_all_ngrams(spark, monkeypatch):
+    """More hash buckets than a sample of four an order; held-out documents teach nothing."""
+    monkeypatch.setattr(grid, "CHUNK_BYTES", 1 << 13)
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{w}" for w in rng.zipf(1.4, rng.integers(1, 60)) % 300)) for i in range(400)]
+    grams = counted([t.encode().split() + [b" end"] for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2])
+    uses = [tuple(np.array(x) for x in zip(*sorted(Counter(c for g, c in grams[n].items() if n > 1 or g != (b" end",)).items()))) for n in (1, 2, 3)]
+    want = slow(docs, [strength(uses[0], uses[1]), strength(uses[1], uses[2])])
+    assert_close(fast(score(spark.createDataFrame(docs, "doc_id long, text string"))), want)
+
+
 @pytest.mark.parametrize("chunk_bytes", [8 << 20, 1 << 13])
 def test_edges_of_the_input(spark, monkeypatch, chunk_bytes):
     monkeypatch.setattr(grid, "CHUNK_BYTES", chunk_bytes)
