@@ -9,6 +9,17 @@ from logloom.session import checkpoint
 
 
 SALTS = 8
+#: A checkpoint writes a file a task: of few rows, no more files than these.
+TASK_ROWS, FEW_TASKS = 100_000, 8
+
+
+def tasks_of(rows: int) -> int:
+    return max(FEW_TASKS, -(-rows // TASK_ROWS))
+
+
+def merged(df: DataFrame, tasks: int | None) -> DataFrame:
+    """The same rows by so many tasks at most, however many partitions the session's shuffles have."""
+    return df if tasks is None else df.coalesce(tasks)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,17 +38,17 @@ def _star(directed: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, component): component is the least node reachable; edges has columns a and b, and a > b not needed.
 
     Nodes without an edge to another node don't appear. Each round is checkpointed; it ends when no edge moves, after a number of
-    rounds that grows with the logarithm of the nodes.
+    rounds that grows with the logarithm of the nodes. tasks: at most so many write a checkpoint.
     """
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = checkpoint(merged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tasks))
     mark = None
     while True:
         large = _star(_both(edges), larger=True)
-        edges = checkpoint(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False))
+        edges = checkpoint(merged(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False), tasks))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

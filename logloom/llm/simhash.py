@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch, unused
-from logloom.llm.components import components
+from logloom.llm.components import components, merged, tasks_of
 from logloom.llm.grid import mix, window_hash, word_hashes
 from logloom.session import checkpoint
 
@@ -321,13 +321,14 @@ def _meets(own, parts, key: str):
     return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.xxhash64(key, F.least(own, o), F.greatest(own, o))))
 
 
-def _edges(keyed: DataFrame, k: int, exact: bool = False) -> DataFrame:
+def _edges(keyed: DataFrame, k: int, exact: bool = False, tasks: int | None = None) -> DataFrame:
     """Links within k bits of the fingerprints that share a key.
 
     exact: keys stand for the bits in `fixed`, so those that pairs of blocks would copy more often than k + 1 times are refined.
+    tasks: at most so many write the checkpoint of the hot keys.
     """
     while True:
-        hot = checkpoint(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+        hot = checkpoint(merged(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT), tasks))
         more = hot.where(F.col("n") > HOT * (k + 1))
         if not exact or more.isEmpty():
             break
@@ -348,14 +349,15 @@ def near_components(prints: DataFrame, k: int = 4, agree: float | None = None) -
     agree=None uses the exact block keys (fingerprints of 64 bits); otherwise tables of sampled bits that find
     pairs with at least that share of equal bits.
     """
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
+    distinct = checkpoint(merged(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")), tasks_of(prints.count())))
     n = distinct.count()
     words = (distinct.agg(F.max(F.length("fp")).alias("n")).first()["n"] or 8) // 8
     masks = block_masks(n, k) if agree is None else sample_masks(words, *tables_for(n, agree))
     keyed = distinct.where(F.col("id") != NO_ID).select("fp", "id").mapInArrow(_keyed(masks), ddl(REFINED))
     # 2^(k + 1) below HOT * (k + 1): a key with so many fingerprints leaves more than k bits free
-    edges = _edges(keyed, k, agree is None and 1 << (k + 1) <= HOT * (k + 1))
-    linked = components(edges)
+    tasks = tasks_of(n * len(masks))
+    edges = _edges(keyed, k, agree is None and 1 << (k + 1) <= HOT * (k + 1), tasks)
+    linked = components(edges, tasks)
     return distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 

@@ -114,3 +114,33 @@ def test_very_hot_keys_are_refined(spark, monkeypatch):
 def test_free_blocks_cover_the_free_bits_once(fixed, k):
     blocks = free_blocks(fixed, k)
     assert len(blocks) == k + 1 and all(blocks) and sum(blocks) == (1 << 64) - 1 - fixed
+
+
+def test_checkpoints_of_few_rows_are_few_files(spark, monkeypatch):
+    """Many small shuffle partitions don't become as many files; every file costs a local store a process that sets its mode."""
+    import logloom.llm.components as stars
+    import logloom.llm.simhash as module
+
+    rng = np.random.default_rng(9)
+    prints = dict(enumerate(int(p) ^ 1 << b for p in rng.integers(0, 1 << 62, 60) for b in range(3)))
+    rows = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in prints.items()], "doc_id long, fp binary")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, whole = {c: spark.conf.get(c) for c in held}, [], module.checkpoint
+
+    def counted(df):
+        out = whole(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "checkpoint", counted)
+    monkeypatch.setattr(stars, "checkpoint", counted)
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        got = {bytes(r.fp): r.component_id for r in near_components(rows).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    slow = slow_components(prints)
+    assert all(got[p.to_bytes(8, "big")] == slow[i] for i, p in prints.items())
+    assert len(files) >= 4 and max(files) <= 8
