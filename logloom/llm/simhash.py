@@ -365,7 +365,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint (hex), component_id: one row per input row."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seeds))
     near = near_components(prints, k, agree)
-    return prints.join(near, "fp", "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    rows = prints.join(near, "fp", "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return merged(rows, tasks_of(prints.count()))
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:

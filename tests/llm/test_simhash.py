@@ -116,7 +116,18 @@ def test_free_blocks_cover_the_free_bits_once(fixed, k):
     assert len(blocks) == k + 1 and all(blocks) and sum(blocks) == (1 << 64) - 1 - fixed
 
 
-def test_checkpoints_of_few_rows_are_few_files(spark, monkeypatch):
+@pytest.fixture
+def many_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    for c, v in held.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in before.items():
+        spark.conf.set(c, v)
+
+
+def test_checkpoints_of_few_rows_are_few_files(spark, many_partitions, monkeypatch):
     """Many small shuffle partitions don't become as many files; every file costs a local store a process that sets its mode."""
     import logloom.llm.components as stars
     import logloom.llm.simhash as module
@@ -124,8 +135,7 @@ def test_checkpoints_of_few_rows_are_few_files(spark, monkeypatch):
     rng = np.random.default_rng(9)
     prints = dict(enumerate(int(p) ^ 1 << b for p in rng.integers(0, 1 << 62, 60) for b in range(3)))
     rows = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in prints.items()], "doc_id long, fp binary")
-    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before, files, whole = {c: spark.conf.get(c) for c in held}, [], module.checkpoint
+    files, whole = [], module.checkpoint
 
     def counted(df):
         out = whole(df)
@@ -134,13 +144,17 @@ def test_checkpoints_of_few_rows_are_few_files(spark, monkeypatch):
 
     monkeypatch.setattr(module, "checkpoint", counted)
     monkeypatch.setattr(stars, "checkpoint", counted)
-    try:
-        for c, v in held.items():
-            spark.conf.set(c, v)
-        got = {bytes(r.fp): r.component_id for r in near_components(rows).collect()}
-    finally:
-        for c, v in before.items():
-            spark.conf.set(c, v)
+    got = {bytes(r.fp): r.component_id for r in near_components(rows).collect()}
     slow = slow_components(prints)
     assert all(got[p.to_bytes(8, "big")] == slow[i] for i, p in prints.items())
     assert len(files) >= 4 and max(files) <= 8
+
+
+def test_a_small_result_is_few_files(spark, many_partitions, tmp_path):
+    texts = [f"w{i} x{i % 90} y z{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)
+    simhash_components(docs).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    slow = slow_components(dict(enumerate(map(slow_print, texts))))
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted(slow.items())
+    assert 0 < len(list(tmp_path.glob("out/*.parquet"))) <= 8
