@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,15 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def release() -> None:
+    """Gives free memory back to the system; Arrow and the C library keep it otherwise, and a worker lives for many tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 _kept: dict[str, object] = {}
 
 
@@ -61,7 +71,7 @@ def keep(name: str, make=None):
     """
     if name not in _kept:
         _kept.clear()
-        pa.default_memory_pool().release_unused()
+        release()
         if make is not None:
             _kept[name] = make()
     return _kept.get(name)

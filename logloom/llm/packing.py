@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch
+from logloom.llm.common import batches, ddl, id_and_text, keep, record_batch, release
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -36,7 +36,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Bytes of text that are encoded at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 class WordEncoder:
@@ -47,14 +47,16 @@ class WordEncoder:
     never keeps white space, keeps runs of letters whole and parts them from punctuation. Arrow splits a batch
     and numbers its distinct chunks; only those are looked up, and numpy gathers the ids. New words of composed
     letters go to the tokenizer's model many at a time, parted again at their end marks, with closing
-    punctuation learned apart; everything else goes to the tokenizer. Two generations of remembered chunks
-    bound the memory and keep frequent ones.
+    punctuation learned apart; everything else goes to the tokenizer. Two generations of remembered chunks,
+    bounded in number and in bytes, keep frequent ones.
     """
 
     CLOSING = string.punctuation.encode()
     END, EMPTY = 0, 1
+    #: Words that go to the tokenizer at a time: what it returns is some hundred bytes a token.
+    AT_ONCE = 16_000
 
-    def __init__(self, tokenizer_path: str, end_id: int, remember: int = 400_000) -> None:
+    def __init__(self, tokenizer_path: str, end_id: int, remember: int = 400_000, remember_bytes: int = 8 << 20) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -68,14 +70,16 @@ class WordEncoder:
         vocabulary = plain.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
-        self.end_id, self.remember = end_id, remember
+        self.end_id, self.remember, self.remember_bytes = end_id, remember, remember_bytes
         self.young: dict[bytes, int] = {}
         self._start_generation(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def _start_generation(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Slots END and EMPTY, then the young chunks, which become the old ones."""
-        self.old = {w: slot for slot, w in enumerate(self.young, 2)}
-        self.young = {b"": self.EMPTY}
+        # numbered anew in place, so that never three generations lie in memory
+        self.old, self.young, self.young_bytes = self.young, {b"": self.EMPTY}, 0
+        for slot, w in enumerate(self.old, 2):
+            self.old[w] = slot
         self.sizes = np.concatenate(([1, 0], sizes))
         self.ids = np.concatenate((np.array([self.end_id], np.uint32), _gather(ids, starts, sizes)))
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -93,7 +97,7 @@ class WordEncoder:
         sizes = self.sizes[chunk]
         out = _gather(self.ids, self.starts[chunk], sizes)
         closed = np.cumsum(sizes)[ends + np.arange(len(ends))]
-        if len(self.young) > self.remember:
+        if len(self.young) > self.remember or self.young_bytes > self.remember_bytes:
             kept = np.fromiter(self.young.values(), np.int64, len(self.young))
             self._start_generation(self.starts[kept], self.sizes[kept], self.ids)
         return out, closed
@@ -107,6 +111,7 @@ class WordEncoder:
                     missing.append(w)
                 else:
                     young[w] = slot
+                    self.young_bytes += len(w)
         if missing:
             self._learn(missing)
         return np.fromiter(map(young.__getitem__, words), np.int64, len(words))
@@ -145,13 +150,18 @@ class WordEncoder:
             if letters:
                 names += "\n".join(letters).encode().decode("latin-1").translate(BYTE_LEVEL | {10: 10}).split("\n")
         if words:
-            found = self.encode_words([" ".join(names[i : i + 500]) for i in range(0, len(names), 500)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            ids = []
+            for at in range(0, len(names), self.AT_ONCE):
+                part = names[at : at + self.AT_ONCE]
+                found = self.encode_words([" ".join(part[i : i + 500]) for i in range(0, len(part), 500)], add_special_tokens=False)
+                ids += [np.array(e.ids, np.uint32) for e in found]
+                del found
+            ids = np.concatenate(ids)
             self._add(words, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
         odd = [w for w in odd if w not in young]
         if odd:
-            each = [e.ids for e in self.encode([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)]
-            self._add(odd, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+            each = [np.array(e.ids, np.uint32) for at in range(0, len(odd), self.AT_ONCE) for e in self.encode([w.decode("utf-8", "replace") for w in odd[at : at + self.AT_ONCE]], add_special_tokens=False)]
+            self._add(odd, np.concatenate(each), np.array([len(e) for e in each], np.int64))
         if parted:
             pairs = np.array([(young[base], young[tail]) for _, base, tail in parted])
             self._add([w for w, _, _ in parted], _gather(self.ids, self.starts[pairs.ravel()], self.sizes[pairs.ravel()]), self.sizes[pairs].sum(axis=1))
@@ -159,6 +169,7 @@ class WordEncoder:
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         if len(sizes) != len(words) or sizes.sum() != len(ids):
             raise ValueError("the tokenizer's word ends do not part its ids")
+        self.young_bytes += sum(map(len, words))
         self.young.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
@@ -167,7 +178,9 @@ class WordEncoder:
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of values that start there, one after the other."""
-    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 def _values(strings: pa.Array) -> list[bytes]:
@@ -259,6 +272,7 @@ def _pack(path: str, end_id: int, capacity: int, piece: int, windows: int):
 
         for part in _steps(parts):
             ids, ends = encoder(part.column(1))
+            release()
             first = 0
             for doc_id, last in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
                 coded, n = ids[first:last], last - first

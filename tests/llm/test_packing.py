@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -7,6 +9,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from logloom.llm.packing import WordEncoder, karmarkar_karp, pack
+from logloom.session import ROOT
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +84,44 @@ def test_edges_of_the_input(spark):
     twice = pack(df.where("doc_id = 5").unionByName(df.where("doc_id = 5")), PATH).collect()
     assert len(twice) == 2 and pack(df.where("doc_id = 9"), PATH).count() == 0
     assert pack(spark.createDataFrame([(None, "x")], "doc_id long, text string"), PATH).first().doc_id is None
+
+
+def test_what_an_encoder_remembers_is_bounded_in_bytes():
+    encoder = WordEncoder(PATH, 1)
+    for step in range(11):
+        texts = [f"{step}-{k}-" + "abcdefghi-" * 100_000 for k in range(2)]
+        ids, ends = encoder(pa.array([t.encode() for t in texts], pa.binary()))
+        if step == 10:
+            assert ids.tolist() == [i for t in plain_ids(texts) for i in t] and ends[-1] == len(ids)
+    assert sum(map(len, [*encoder.young, *encoder.old])) < 24 << 20
+
+
+#: Packs a million words and prints how many MB a worker has and does not use, at most, after its steps.
+IDLE = r"""
+import ctypes, random, re, sys, types
+import pyarrow as pa
+from logloom.llm import packing
+packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+
+def anonymous():
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+def texts():
+    rng = random.Random(1)
+    for k in range(10):
+        text = [b" ".join(b"%x" % rng.getrandbits(36) if i % 3 else b"of" for i in range(100)).translate(bytes.maketrans(b"0123456789", b"ghijklmnop")) for _ in range(1000)]
+        yield pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(text, pa.binary())], names=["doc_id", "t"])
+
+most = 0
+for out in packing._pack(sys.argv[1], 1, 2048, 512, 96)(texts()):
+    held = anonymous()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    most = max(most, held - anonymous())
+print(most)
+"""
+
+
+def test_a_worker_keeps_no_memory_that_it_does_not_use():
+    done = subprocess.run([sys.executable, "-c", IDLE, PATH], cwd=ROOT, capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout) < 25
